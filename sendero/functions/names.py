@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fx
-from .text import as_col, literal_map, slugify, strip
+from .text import as_col, let, literal_map, slugify, strip
 
 
 def rural_type(raw_name: Column | str) -> Column:
@@ -43,7 +43,10 @@ def _after_first(text: Column, separator: str) -> Column:
 
 def title_case_es(name: Column | str) -> Column:
     """Spanish title case with saints, abbreviations, apostrophes, minor words and compounds."""
-    words = _words(as_col(name))
+    return let(_words(as_col(name)), _title_words)
+
+
+def _title_words(words: Column) -> Column:
     minor = fx.MINOR_WORDS
 
     def capital(part: Column) -> Column:
@@ -93,9 +96,11 @@ def _article_first(name: Column) -> Column:
 
 
 def _bare_name(raw_name: Column, code: Column) -> Column:
-    name = strip(F.replace(raw_name, F.lit("&apos;"), F.lit("'")))
-    has_code = F.startswith(F.upper(name), F.concat(code, F.lit(" ")))
-    return F.when(has_code, strip(F.substr(name, F.length(code) + 2))).otherwise(name)
+    def without_code(name: Column) -> Column:
+        has_code = F.startswith(F.upper(name), F.concat(code, F.lit(" ")))
+        return F.when(has_code, strip(F.substr(name, F.length(code) + 2))).otherwise(name)
+
+    return let(strip(F.replace(raw_name, F.lit("&apos;"), F.lit("'"))), without_code)
 
 
 def _with_type_word(zone: Column, code: Column) -> Column:
@@ -115,7 +120,8 @@ def clean_zone(raw_name: Column | str, code: Column | str) -> Column:
     """Display name of a zone."""
     raw_name, code = as_col(raw_name), as_col(code)
     name = F.regexp_replace(_bare_name(raw_name, code), "(?i)\\s+GP\\.?\\s*\\d+\\s*$", "")
-    return _with_type_word(title_case_es(_article_first(name)), code)
+    zone = title_case_es(let(name, _article_first))
+    return let(zone, lambda z: _with_type_word(z, code))
 
 
 def _frozen_title_case(name: Column) -> Column:
@@ -136,5 +142,5 @@ def _frozen_title_case(name: Column) -> Column:
 def legacy_zone_slug(raw_name: Column | str, code: Column | str) -> Column:
     """Zone part of place ids. Frozen: improvements of display names must never reach it."""
     raw_name, code = as_col(raw_name), as_col(code)
-    name = _article_first(_bare_name(raw_name, code))
-    return slugify(_with_type_word(_frozen_title_case(name), code))
+    zone = _frozen_title_case(let(_bare_name(raw_name, code), _article_first))
+    return slugify(let(zone, lambda z: _with_type_word(z, code)))

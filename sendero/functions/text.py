@@ -20,6 +20,11 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
@@ -77,7 +82,10 @@ def tokenize(c: Column | str) -> Column:
 
 def parse_query(c: Column | str) -> Column:
     """struct<name_tokens, num_filter>: a last all-digit token becomes the number filter."""
-    tokens = tokenize(c)
+    return let(tokenize(c), _split_number)
+
+
+def _split_number(tokens: Column) -> Column:
     last = F.coalesce(F.try_element_at(tokens, F.lit(-1)), F.lit(""))
     has_num = last.rlike("^[0-9]+$")
     return F.struct(
@@ -117,7 +125,11 @@ def parcel_ref_label(ref: Column | str, label: Column | None = None) -> Column:
 
     ``label`` is a column with the looked-up designator; without it the built-in list is used.
     """
-    ref = F.upper(strip(F.coalesce(as_col(ref), F.lit(""))))
+    cleaned = F.upper(strip(F.coalesce(as_col(ref), F.lit(""))))
+    return let(cleaned, lambda r: _ref_label(r, label))
+
+
+def _ref_label(ref: Column, label: Column | None) -> Column:
     if label is None:
         label = F.try_element_at(literal_map(fx.REF_LABELS), ref)
     rural = "^\\d{5}[A-Z](\\d{3})(\\d{5})[0-9A-Z]*$"
@@ -134,7 +146,10 @@ def parcel_ref_label(ref: Column | str, label: Column | None = None) -> Column:
 
 def parcel_compact(ref: Column | str) -> Column:
     """'Políg. 20 · Parc. 295' -> '20-295'; 'Ref. X' -> 'X'."""
-    text = strip(F.coalesce(as_col(ref), F.lit("")))
+    return let(strip(F.coalesce(as_col(ref), F.lit(""))), _compact)
+
+
+def _compact(text: Column) -> Column:
     numbers = F.regexp_extract_all(text, F.lit("(\\d+)"), 1)
     bare = strip(F.regexp_replace(text, "(?i)^\\s*ref\\.?\\s*", ""))
     return F.when(

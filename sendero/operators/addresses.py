@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
 from ..functions import geo, names, text
+from ..plans.session import cut
 from .components import connected_components
 
 PLACE_COLUMNS = ["municipality", "id", "name", "partida", "num", "lat", "lng", "ref"]
@@ -36,10 +37,19 @@ def resolve_thoroughfare(addresses: DataFrame, thoroughfares: DataFrame) -> Data
 
 def rural_addresses(addresses: DataFrame) -> DataFrame:
     """Rural rows with code, zone (display) and base (id slug). Needs raw_name, municipality."""
-    rural = addresses.filter(names.is_rural("raw_name", "municipality"))
+    zones = rural_zones(addresses.select("municipality", "raw_name").distinct())
+    return addresses.join(zones, ["municipality", "raw_name"])
+
+
+def rural_zones(thoroughfares: DataFrame) -> DataFrame:
+    """Rural (municipality, raw_name) with code, zone, display and base.
+
+    Names repeat over many addresses, so they are cleaned once each and joined back.
+    """
+    rural = thoroughfares.filter(names.is_rural("raw_name", "municipality"))
     named = rural.withColumn("code", names.rural_type("raw_name"))
     named = named.withColumn("zone", names.clean_zone("raw_name", "code"))
-    named = with_canonical_zone(named.filter(F.col("zone") != ""), canonical_zones(addresses))
+    named = with_canonical_zone(named.filter(F.col("zone") != ""), canonical_zones(thoroughfares))
     return named.withColumn("base", names.legacy_zone_slug("raw_name", "code"))
 
 
@@ -345,8 +355,10 @@ def build_places(
     merge_zones: list[tuple[str, str]] | None = fx.DISTANCE_MERGE_ZONES,
 ) -> DataFrame:
     """addresses(municipality, raw_name, number, x, y, local_id) -> places."""
-    numbered, without = split_numbered(rural_addresses(addresses))
-    units = clustered_units(unit_centroids(numbered), legacy_totals(numbered), merge_zones)
+    numbered, without = split_numbered(cut(rural_addresses(addresses), "rural"))
+    units = cut(unit_centroids(numbered), "units")
+    totals = units.groupBy("municipality", "base").agg(F.sum("n").alias("total"))
+    units = clustered_units(units, totals, merge_zones)
     sn = sn_places(without.withColumn("ref", text.parcel_ref("local_id")))
     return all_places(numbered_places(units), sn)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
@@ -16,11 +16,10 @@ def connected_components(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     one partially aggregated minimum plus an equi-join, so no vertex's neighbours meet in a task.
     """
     links = cut(_ordered(pairs.select("a", "b")), "links")
-    while True:
-        starred = cut(_small_star(_large_star(links)), "links")
-        if _same(links, starred):
-            break
-        links = starred
+    before, mark = None, _fingerprint(links)
+    while mark != before and mark["n"] > 0:
+        links = cut(_small_star(_large_star(links)), "links")
+        before, mark = mark, _fingerprint(links)
     # links now hold (larger vertex, root) for every vertex that is not its own root
     return vertices.join(links.withColumnRenamed("a", "vertex"), "vertex", "left").select(
         "vertex", F.coalesce("b", "vertex").alias("comp")
@@ -55,11 +54,8 @@ def _small_star(links: DataFrame) -> DataFrame:
     )
 
 
-def _same(left: DataFrame, right: DataFrame) -> bool:
-    fingerprint = F.struct(
-        F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")
-    ).alias("f")
-    return left.agg(fingerprint).first() == right.agg(fingerprint).first()
+def _fingerprint(links: DataFrame) -> Row:
+    return links.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
