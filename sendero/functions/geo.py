@@ -76,7 +76,8 @@ def haversine_m(lat1, lng1, lat2, lng2) -> Column:
     s1 = F.sin(F.radians(lat2 - lat1) / 2)
     s2 = F.sin(F.radians(lng2 - lng1) / 2)
     h = s1 * s1 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s2 * s2
-    return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * fx.EARTH_RADIUS_M)
+    # not least(1, h): that would turn a missing coordinate into half the globe
+    return F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h))) * (2 * fx.EARTH_RADIUS_M)
 
 
 def bearing_deg(lat1, lng1, lat2, lng2) -> Column:
