@@ -1,5 +1,5 @@
 """Queries over the given tables, and the SQL that checks them."""
 
-from . import functions
+from . import addresses, datasets, functions, search
 
-MODULES = [functions]
+MODULES = [addresses, functions, datasets, search]

@@ -12,18 +12,24 @@ from . import inputs as inp
 from . import sql
 from .inputs import Tables, duck, values
 
-QUERIES, ORACLES = {}, {}
 
+def registry():
+    """(queries, oracles, decorator) of one module."""
+    queries, oracles = {}, {}
 
-def query(key: str, oracle: str | None = None):
-    def keep(function):
-        QUERIES[key] = lambda spark, folder: function(Tables(spark, folder))
-        if oracle:
-            ORACLES[key] = oracle
-        return function
+    def query(key: str, oracle: str | None = None):
+        def keep(function):
+            queries[key] = lambda spark, folder: function(Tables(spark, folder))
+            if oracle:
+                oracles[key] = oracle
+            return function
 
-    return keep
+        return keep
 
+    return queries, oracles, query
+
+
+QUERIES, ORACLES, query = registry()
 
 ADDRESSES, PLACES, FIXES = duck(inp.ADDRESSES), duck(inp.PLACES), duck(inp.FIXES)
 NAMES = values(inp.RAW_NAMES, "raw, code, zone, slug")
@@ -71,7 +77,8 @@ def _lookup(mapping: dict[str, str], key: str) -> str:
 
 
 _MINOR = "(" + ", ".join(inp.quote(w) for w in fx.MINOR_WORDS) + ")"
-_CAP = lambda p: f"coalesce({_lookup(fx.PROPER_NOUN_ACCENTS, f'upper({p})')}, upper(substr({p}, 1, 1)) || substr({p}, 2))"
+# the capital of ß is SS
+_CAP = lambda p: f"coalesce({_lookup(fx.PROPER_NOUN_ACCENTS, f'upper({p})')}, CASE WHEN substr({p}, 1, 1) = 'ß' THEN 'SS' ELSE upper(substr({p}, 1, 1)) END || substr({p}, 2))"
 _TITLE = f"""array_to_string(list_transform(words, lambda w, i: coalesce(
   CASE WHEN length(regexp_replace(coalesce(words[i + 1], ''), '\\PL', '', 'g')) >= 3 THEN {_lookup(fx.SAINT_ABBREVIATIONS, "rtrim(upper(w), '.')")} END,
   {_lookup(fx.ABBREVIATIONS, "rtrim(upper(w), '.')")},

@@ -40,9 +40,9 @@ ADDRESSES = f"""
 SELECT c_custkey AS addr_id,
        CASE c_nationkey % 5 WHEN 0 THEN '03005' WHEN 1 THEN '03059' WHEN 2 THEN '03015' WHEN 3 THEN '03049' ELSE '03099' END AS municipality,
        CASE c_custkey % {len(RAW_NAMES)} {_NAME_CASES} END AS raw_name,
-       CASE WHEN c_custkey % 7 = 0 THEN 'S-N' ELSE CAST(c_custkey % 40 AS STRING) END AS number,
-       CAST(680000 + (c_custkey % 40) * 300 + (c_custkey * 7919) % 400 AS DOUBLE) AS x,
-       CAST(4215000 + (c_custkey % 40) * 300 + (c_custkey * 104729) % 250 AS DOUBLE) AS y,
+       CASE WHEN c_custkey % 7 = 0 THEN 'S-N' ELSE CAST(CAST(floor(c_custkey / 80.0) AS BIGINT) % 9 AS STRING) END AS number,
+       CAST(680000 + (CAST(floor(c_custkey / 80.0) AS BIGINT) % 9) * 300 + (c_custkey * 7919) % 197 AS DOUBLE) AS x,
+       CAST(4215000 + (CAST(floor(c_custkey / 80.0) AS BIGINT) % 9) * 300 + (c_custkey * 104729) % 211 AS DOUBLE) AS y,
        concat('03.059.179.S-N.',
          CASE WHEN c_custkey % 3 = 0 THEN concat(CAST(1000000 + c_custkey AS STRING), 'XH9324N')
               ELSE concat('03059A', lpad(CAST(c_custkey % 150 AS STRING), 3, '0'), lpad(CAST(c_custkey AS STRING), 5, '0')) END) AS local_id
