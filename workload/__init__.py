@@ -1,5 +1,5 @@
 """Queries over the given tables, and the SQL that checks them."""
 
-from . import addresses, datasets, functions, search
+from . import addresses, datasets, functions, roads, search
 
-MODULES = [addresses, functions, datasets, search]
+MODULES = [addresses, functions, datasets, search, roads]
