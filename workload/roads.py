@@ -299,7 +299,7 @@ STEPS = f"""WITH pts AS ({duck(STEP_POINTS)}), w AS (SELECT *, lag(lat) OVER v A
   steps AS (SELECT od_id, row_number() OVER k - 1 AS step, "at", type, name, coalesce(lead(cum) OVER k - cum, 0) AS dist_m FROM s WINDOW k AS (PARTITION BY od_id ORDER BY "at", nth))"""
 
 
-@query("g05_w12_route_steps", f"{STEPS} SELECT od_id, step, "at", type, name, round(dist_m, 3) AS dist_m FROM steps")
+@query("g05_w12_route_steps", f"""{STEPS} SELECT od_id, step, "at", type, name, round(dist_m, 3) AS dist_m FROM steps""")
 def g05(t):
     return routes.route_steps(t(STEP_POINTS), t(DEGREES)).withColumn("dist_m", F.round("dist_m", 3))
 
