@@ -68,7 +68,10 @@ def _title_words(words: Column) -> Column:
         key = F.rtrim(F.upper(word), F.lit("."))
         following = F.coalesce(F.try_element_at(words, index + 2), F.lit(""))
         letters = F.length(F.regexp_replace(following, "\\P{L}", ""))
-        saint = F.when(letters >= 3, F.try_element_at(literal_map(fx.SAINT_ABBREVIATIONS), key))
+        saint = F.when(
+            key.isin(list(fx.SAINT_ABBREVIATIONS)) & (letters >= 3),
+            F.try_element_at(literal_map(fx.SAINT_ABBREVIATIONS), key),
+        )
         low = F.lower(word)
         return F.coalesce(
             saint,
@@ -80,7 +83,8 @@ def _title_words(words: Column) -> Column:
                 ),
             ),
             F.when((index > 0) & low.isin(minor), low),
-            compound(low),
+            F.when(low.rlike("[-.]"), compound(low)),
+            capital(low),
         )
 
     return F.array_join(F.transform(words, cased), " ")
