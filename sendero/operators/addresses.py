@@ -226,18 +226,22 @@ def close_links(
         boxes(grid(0), grid(0), "r"), [*group, "r_parent"]
     )
     links = stars.select(F.col("unit").alias("a"), "b")
-    for level in range(1, levels + 2):
-        near = pairs.filter(most <= metres)
+    for level in range(1, levels + 3):
+        # written, as both the links and the next level read it; mostly nothing is unclear
+        judged = pairs.select(*group, "l", "r", most.alias("most"), least.alias("least"))
+        judged = cut(judged.filter(F.col("least") <= metres), "boxes")
+        near = judged.filter(F.col("most") <= metres)
         links = links.unionByName(near.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
-        unclear = pairs.filter((least <= metres) & (most > metres)).select(
+        unclear = judged.filter(F.col("most") > metres)
+        if unclear.isEmpty():
+            break
+        child = grid(level) if level <= levels else F.struct("x", "y")
+        unclear = unclear.select(
             *group, F.col("l.cell").alias("l_parent"), F.col("r.cell").alias("r_parent")
         )
-        child = grid(level) if level <= levels else F.struct("x", "y")
         pairs = unclear.join(boxes(grid(level - 1), child, "l"), [*group, "l_parent"]).join(
             boxes(grid(level - 1), child, "r"), [*group, "r_parent"]
         )
-    near = pairs.filter(most <= metres)
-    links = links.unionByName(near.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")))
     return links.filter("a <> b").distinct()
 
 
