@@ -15,8 +15,6 @@ from ..functions import geo, names, text
 from ..plans.session import cut
 from .components import connected_components
 
-PLACE_COLUMNS = ["municipality", "id", "name", "partida", "num", "lat", "lng", "ref"]
-
 
 def resolve_thoroughfare(addresses: DataFrame, thoroughfares: DataFrame) -> DataFrame:
     """Adds raw_name: the first reference, in order, that has a name. Others are dropped.

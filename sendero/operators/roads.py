@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
 from ..functions import geo
-from ..functions.text import as_col, literal_map
+from ..functions.text import as_col
 from ..plans.session import cut
 
 BLOCK = 4096

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sendero.operators import datasets as ds
-from sendero.operators import search
 
 from . import inputs as inp
 from . import sql

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sendero.operators import addresses as ad
-from sendero.operators import datasets as ds
 from sendero.operators import roads
-from sendero.plans.session import cut, scratch
+from sendero.plans.session import scratch
 from sendero.sources import backup, gml, graph, osm, towns
 
 from . import inputs as inp
-from . import sql
 from .functions import ADDRESSES, PLACES, registry
 from .inputs import Tables, duck
 from .roads import EDGES, NODES, RESTRICTIONS, VERTICES, edges, nodes, osm_nodes, restrictions, ways

@@ -13,7 +13,7 @@ from sendero.streaming.guidance import OUTPUT, guide, matched_fixes, route_table
 from . import inputs as inp
 from . import sql
 from .functions import registry
-from .inputs import Tables, duck
+from .inputs import Tables
 from .roads import DEGREES, FIXES, NEAREST, STEP_POINTS, STEPS
 
 QUERIES, ORACLES, query = registry()
