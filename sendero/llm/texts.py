@@ -73,15 +73,17 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Parts of the batches with at most SLICE_BYTES of text, or one row."""
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Parts of the batches with at most ``size`` bytes of text, or one row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         offsets = texts_of(batch.column(column)).offsets
         row = 0
         while row < batch.num_rows:
-            stop = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
+            stop = int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1
             stop = min(max(stop, row + 1), batch.num_rows)
             part = batch.slice(row, stop - row)
             yield part, texts_of(part.column(column))
