@@ -1,7 +1,8 @@
 """Sampled SentencePiece segmentations: forward filtering, backward sampling over the piece lattice.
 
 The lattice of a text has an arc for every run of bytes that is a piece (the piece's space mark stands
-for a space), and one for every single byte, at a weight that only matters where no piece fits. The
+for a space), and one for every single byte that is no piece, at a weight that only matters where no
+piece fits. The
 forward pass sums the weights of all segmentations up to each place; the backward pass draws the last
 piece, then the one before, each with its share of that sum. So a segmentation is drawn with the
 probability of its weight among all of them. Draws come from a hash of the row's key, the seed and the
@@ -31,7 +32,7 @@ from .texts import U64, Texts, in_arrow, mix, prefix_hashes, ragged, slices, spa
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 BYTE_WEIGHT = -40.0
-SLICE = 1 << 22
+SLICE = 1 << 23
 
 
 class Vocabulary(NamedTuple):
@@ -44,6 +45,7 @@ class Vocabulary(NamedTuple):
     maybe: np.ndarray  # by the top 20 bits of a hash: some piece may have it
     joined: np.ndarray  # joined[a, b]: some piece holds byte a and then b
     byte_ids: np.ndarray  # id of each byte
+    lone: np.ndarray  # lone[b]: byte b is no piece
     data: np.ndarray  # all pieces' bytes
     offsets: np.ndarray  # of each id in data
 
@@ -81,18 +83,21 @@ def load(model: str = MODEL, alpha: float = 1.0) -> Vocabulary:
     maybe = np.zeros(1 << 20, bool)
     maybe[(keys >> U64(44)).astype(np.int64)] = True
     sizes = np.unique(np.diff(offsets)[at])
+    lone = np.ones(256, bool)
+    lone[[texts[i][0] for i in used if len(texts[i]) == 1]] = False
     return Vocabulary(
         keys[order], at[order].astype(np.int32), np.array([weights[i] for i in at[order]]), sizes, maybe, joined,
-        byte_ids, data, offsets,
+        byte_ids, lone, data, offsets,
     )
 
 
 class Lattice(NamedTuple):
-    """Arcs sorted by the place they end at; ``place`` counts the bytes of all parts, laid end to end."""
+    """Arcs sorted by the place they end at, longest first; places count the bytes of all parts."""
 
     begin: np.ndarray  # place where the arc begins
     piece: np.ndarray
-    upto: np.ndarray  # place + share of the arcs up to this one among those ending there
+    upto: np.ndarray  # share of the arcs up to this one among those with the same end
+    first: np.ndarray  # by place: its first arc
 
 
 def lattice(texts: Texts, vocabulary: Vocabulary) -> Lattice:
@@ -103,7 +108,9 @@ def lattice(texts: Texts, vocabulary: Vocabulary) -> Lattice:
     first = np.repeat(texts.offsets[:-1], sizes)
     stop = np.repeat(texts.offsets[1:], sizes)
     place = np.arange(n)
-    begins, ends, pieces, weights = [place], [place + 1], [vocabulary.byte_ids[data]], [np.full(n, BYTE_WEIGHT)]
+    lone = place[vocabulary.lone[data]]
+    begins, ends, pieces = [lone], [lone + 1], [vocabulary.byte_ids[data[lone]]]
+    weights = [np.full(len(lone), BYTE_WEIGHT)]
     for size in vocabulary.sizes.tolist():
         at = place[: max(n - size + 1, 0)]
         at = at[at + size <= stop[at]]
@@ -118,30 +125,31 @@ def lattice(texts: Texts, vocabulary: Vocabulary) -> Lattice:
         pieces.append(vocabulary.ids[where])
         weights.append(vocabulary.weights[where])
     begin, end, piece, weight = map(np.concatenate, (begins, ends, pieces, weights))
-    order = np.lexsort((begin, end))
-    begin, end, piece, weight = begin[order], end[order], piece[order], weight[order]
+    # by how far into its part an arc ends, then by end: one step of the loop is one run of arcs
     depth = end - first[begin]
-    by_depth = np.argsort(depth, kind="stable")
-    cuts = np.searchsorted(depth[by_depth], np.arange(1, (depth.max() if len(depth) else 0) + 2))
-    total = np.zeros(n + 1)  # log of the summed weights up to here; a part's begin is set when it is read
-    share = np.zeros(len(begin))
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        arcs = by_depth[lo:hi]
-        if not len(arcs):
+    order = np.argsort((depth << 40) + (end << 8) - np.minimum(end - begin, 255))
+    begin, end, piece, weight, depth = begin[order], end[order], piece[order], weight[order], depth[order]
+    cuts = np.searchsorted(depth, np.arange(1, (depth[-1] if n else 0) + 2))
+    new = np.r_[True, end[1:] != end[:-1]] if n else np.zeros(0, bool)
+    total = np.zeros(n + 1)  # log of the summed weights up to a place within a part
+    share = np.ones(len(begin))
+    inner = depth > end - begin  # arcs that begin within a part, not at its head
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        value = weight[lo:hi] + np.where(inner[lo:hi], total[begin[lo:hi]], 0.0)
+        heads = np.flatnonzero(new[lo:hi])
+        if not len(heads):
             continue
-        at_start = begin[arcs] == first[begin[arcs]]
-        value = weight[arcs] + np.where(at_start, 0.0, total[begin[arcs]])
-        heads = np.flatnonzero(np.r_[True, end[arcs][1:] != end[arcs][:-1]])
-        counts = np.diff(np.r_[heads, len(arcs)])
-        top = np.repeat(np.maximum.reduceat(value, heads), counts)
-        mass = np.exp(value - top)
+        counts = np.diff(heads, append=hi - lo)
+        top = np.maximum.reduceat(value, heads)
+        mass = np.exp(value - np.repeat(top, counts))
         run = np.cumsum(mass)
-        base = np.repeat(run[heads] - mass[heads], counts)
-        whole = np.repeat(np.add.reduceat(mass, heads), counts)
-        share[arcs] = (run - base) / whole
-        total[end[arcs][heads]] = top[heads] + np.log(whole[heads])
-    share[np.flatnonzero(np.r_[end[1:] != end[:-1], True])] = 1.0
-    return Lattice(begin, piece, end + share - 1.0)
+        whole = np.add.reduceat(mass, heads)
+        share[lo:hi] = (run - np.repeat(run[heads] - mass[heads], counts)) / np.repeat(whole, counts)
+        total[end[lo:hi][heads]] = top + np.log(whole)
+    share[np.r_[new[1:], True] if n else new] = 1.0
+    arc_of = np.zeros(n + 1, np.int64)
+    arc_of[end[new]] = np.flatnonzero(new)
+    return Lattice(begin, piece, share, arc_of)
 
 
 def parts_of(texts: Texts, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +183,11 @@ def sample(texts: Texts, keys: np.ndarray, vocabulary: Vocabulary, seed: int) ->
     while len(live):
         draw[live] = mix(draw[live] + U64(0x9E3779B97F4A7C15))
         u = (draw[live] >> U64(11)).astype(np.float64) * 2.0**-53
-        arc = np.searchsorted(net.upto, at[live] - 1.0 + u, "right")
+        arc = net.first[at[live]]
+        more = np.flatnonzero(u >= net.upto[arc])
+        while len(more):
+            arc[more] += 1
+            more = more[u[more] >= net.upto[arc[more]]]
         taken.append((live, net.piece[arc]))
         at[live] = net.begin[arc]
         live = live[at[live] > floor[live]]
