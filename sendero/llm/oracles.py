@@ -24,7 +24,7 @@ g AS (SELECT DISTINCT item_id, least(len(w), 13) AS k,
   FROM i WHERE len(w) > 0),
 p AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k),
 o AS (SELECT p.doc_id, p.p, p.k, g.item_id FROM (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM p) p JOIN g USING (k, g)),
-h AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS at FROM o) GROUP BY 1),
+h AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS spot FROM o) GROUP BY 1),
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM o GROUP BY 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(d.w), false) AS contaminated
