@@ -32,7 +32,7 @@ from .texts import U64, Texts, in_arrow, mix, prefix_hashes, ragged, slices, spa
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
 BYTE_WEIGHT = -40.0
-SLICE = 1 << 23
+SLICE = 3 << 20
 
 
 class Vocabulary(NamedTuple):

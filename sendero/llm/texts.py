@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 20
-BATCH_BYTES = 16 << 20
+SLICE_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
