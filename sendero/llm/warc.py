@@ -124,99 +124,113 @@ def write(pages: DataFrame, path: str) -> None:
     _text(records(pages)).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(head map, content, length_ok): the archives' records, continuations as rows of their own."""
-    raw = spark.read.option("lineSep", NEXT).text(path)
-    # a file begins with a version line and ends with a blank line that the separator did not take
-    value = F.regexp_replace("value", r"^WARC/1\.1\r\n", "")
-    parts = raw.select(value.alias("value")).select(
-        F.str_to_map(F.substring("value", F.lit(1), F.instr("value", END) - 1), F.lit(CRLF), F.lit(": ")).alias("head"),
-        F.expr("substring(value, instr(value, '\\r\\n\\r\\n') + 4)").alias("content"),
-    )
-    wanted = F.col("head")["Content-Length"].cast("bigint")
-    extra = F.octet_length("content") == wanted + len(END)
-    content = F.when(extra & F.col("content").endswith(END), F.expr("left(content, char_length(content) - 4)"))
-    parts = parts.withColumn("content", F.coalesce(content, F.col("content")))
-    return parts.withColumn("length_ok", F.octet_length("content") == wanted)
+PARSED = (
+    "record string, number int, total bigint, page_id bigint, record_type string, refers_to bigint, "
+    "payload_bytes bigint, payload_digest string, said string, content binary"
+)
+
 
+def _fields(head: bytes) -> dict[bytes, str]:
+    pairs = (line.split(b": ", 1) for line in head.split(b"\r\n") if b": " in line)
+    return {name: value.decode() for name, value in pairs}
 
-def _digest_segments(batches):
-    """Segments sorted by record and number to one row per record, by a running SHA-1."""
-    now, sha, size, whole, page = None, None, 0, 0, None
 
-    def row():
-        return now, page, size, base64.b32encode(sha.digest()).decode(), whole
+def _sha1(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def _parse(batches):
+    """Records as the source cuts them: fields, and the content of segments only."""
+    first, end = (VERSION + CRLF).encode(), END.encode()
+    for batch in batches:
+        out = []
+        for value in batch.column("value").cast(pa.binary()):
+            data = value.as_py()
+            # a file's first record still has its version line, its last one the closing blank line
+            begin = len(first) if data.startswith(first) else 0
+            middle = data.index(end, begin)
+            head, content = _fields(data[begin:middle]), data[middle + len(end) :]
+            size = int(head[b"Content-Length"])
+            if len(content) == size + len(end) and content.endswith(end):
+                content = content[:size]
+            if len(content) != size:
+                raise ValueError(f"WARC block of wrong length in {head[b'WARC-Record-ID']}")
+            kind, said = head[b"WARC-Type"], head[b"WARC-Payload-Digest"].removeprefix("sha1:")
+            number = head.get(b"WARC-Segment-Number")
+            part = number is not None
+            whole = None if part else said if kind == "revisit" else _sha1(content)
+            page, refers, total = (head.get(k) for k in (b"X-Page", b"X-Refers-To-Page", b"WARC-Segment-Total-Length"))
+            out.append(
+                (
+                    head.get(b"WARC-Segment-Origin-ID") or head[b"WARC-Record-ID"],
+                    int(number) if part else None,
+                    int(total) if total else None,
+                    int(page) if page else None,
+                    "revisit" if kind == "revisit" else "response",
+                    int(refers) if refers else None,
+                    int(head[b"X-Payload-Length"]) if kind == "revisit" else size,
+                    whole,
+                    said,
+                    content if part else None,
+                )
+            )
+        kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+        fields = [x.split() for x in PARSED.split(", ")]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in out], kinds[kind]) for k, (_, kind) in enumerate(fields)], [n for n, _ in fields]
+        )
+
+
+READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+
+
+def _join_segments(batches):
+    """Rows sorted by record and segment to one row per record; segments feed a running SHA-1."""
+    open_row, sha, size, number, total = None, None, 0, 0, None
+
+    def close():
+        digest = base64.b32encode(sha.digest()).decode()
+        if size != total or digest != open_row[3]:
+            raise ValueError(f"WARC segments missing or changed in {open_row[0]}")
+        return open_row[1], size, digest, open_row[2], None
+
+    def batch_of(rows):
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        names = [x.split()[0] for x in READ.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    out = []
     for batch in batches:
-        cols = (batch.column(c) for c in ("record", "page", "number", "total", "content"))
-        for record, owner, _, total, content in zip(*(c.to_pylist() for c in cols), strict=True):
-            if record != now:
-                if now is not None:
-                    out.append(row())
-                now, sha, size, whole, page = record, hashlib.sha1(), 0, 0, owner
-            data = content.encode()
-            sha.update(data)
-            size += len(data)
-            whole = max(whole, total or 0)
-    if now is not None:
-        out.append(row())
-    names = ["record", "page", "payload_bytes", "digest", "total"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+        out = []
+        for r in batch.to_pylist():
+            if open_row and r["record"] != open_row[0]:
+                out.append(close())
+                open_row = None
+            if r["number"] is None:
+                if r["payload_digest"] != r["said"]:
+                    raise ValueError(f"WARC payload digest differs in {r['record']}")
+                out.append(tuple(r[x.split()[0]] for x in READ.split(", ")))
+                continue
+            if open_row is None:
+                open_row = (r["record"], r["page_id"], r["record_type"], r["said"])
+                sha, size, number, total = hashlib.sha1(), 0, 0, None
+            number += 1
+            if r["number"] != number:
+                raise ValueError(f"WARC segment {number} of {r['record']} is missing")
+            sha.update(r["content"])
+            size += len(r["content"])
+            total = r["total"] if r["total"] is not None else total
+        yield batch_of(out)
+    if open_row:
+        yield batch_of([close()])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the archives.
 
-    Raises if a block is not as long as its header says, or a payload not what its headers promise.
+    Raises if a block is not as long as its header says, a payload not what its digest says, or a
+    segment is missing. Only segments carry their content through the shuffle that joins them.
     """
-    head = F.col("head")
-    rows = read_records(spark, path).select(
-        F.when(F.col("length_ok"), F.col("content"))
-        .otherwise(F.raise_error(F.concat(F.lit("WARC block of wrong length in "), head["WARC-Record-ID"])))
-        .alias("content"),
-        head["WARC-Type"].alias("type"),
-        head["X-Page"].cast("bigint").alias("page"),
-        F.coalesce(head["WARC-Segment-Origin-ID"], head["WARC-Record-ID"]).alias("record"),
-        head["WARC-Segment-Number"].cast("int").alias("number"),
-        head["WARC-Segment-Total-Length"].cast("bigint").alias("total"),
-        head["X-Payload-Length"].cast("bigint").alias("said_bytes"),
-        F.substring(head["WARC-Payload-Digest"], 6, 32).alias("said_digest"),
-        head["X-Refers-To-Page"].cast("bigint").alias("refers_to"),
-    )
-    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    none = F.lit(None).cast("bigint")
-    single = rows.filter("number IS NULL").select(
-        "page",
-        F.when(F.col("type") == "revisit", F.col("said_bytes")).otherwise(F.octet_length("content")).alias("n"),
-        F.when(F.col("type") == "revisit", F.col("said_digest"))
-        .otherwise(base32(F.sha1(F.col("content").cast("binary"))))
-        .alias("d"),
-        "type",
-        "refers_to",
-        "said_digest",
-    )
-    whole = single.select(
-        F.col("page").alias(names[0]),
-        F.col("n").cast("bigint").alias(names[1]),
-        F.when(F.col("d") == F.col("said_digest"), F.col("d")).otherwise(F.raise_error(F.lit("WARC payload digest differs"))).alias(names[2]),
-        F.col("type").alias(names[3]),
-        F.col("refers_to").alias(names[4]),
-    )
-    parts = rows.filter("number IS NOT NULL").select("record", "page", "number", "total", "content")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = in_arrow(
-        parts.repartition(n, "record").sortWithinPartitions("record", "number"),
-        _digest_segments,
-        "record string, page bigint, payload_bytes bigint, digest string, total bigint",
-    ).select(
-        F.col("page").alias(names[0]),
-        F.when(F.col("payload_bytes") == F.col("total"), F.col("payload_bytes"))
-        .otherwise(F.raise_error(F.lit("WARC segments missing")))
-        .alias(names[1]),
-        F.col("digest").alias(names[2]),
-        F.lit("response").alias(names[3]),
-        none.alias(names[4]),
-    )
-    return whole.unionByName(joined)
+    raw = spark.read.option("lineSep", NEXT).text(path)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parsed = in_arrow(raw, _parse, PARSED).repartition(ranges, "record").sortWithinPartitions("record", "number")
+    return in_arrow(parsed, _join_segments, READ)
