@@ -114,7 +114,7 @@ def test_jaccard_null_and_repeated_ids(spark):
 
 def test_tree_finds_every_pair_that_may_link():
     rng = np.random.default_rng(5)
-    points = [rng.poisson(4, 16).astype("<u2") for _ in range(60)] + [rng.poisson(8, 32).astype("<u2") for _ in range(30)]
+    points = [rng.poisson(4, 16).astype(np.uint8) for _ in range(60)] + [rng.poisson(8, 32).astype(np.uint8) for _ in range(30)]
     points += [p.copy() for p in points[:20]]
     sizes = np.array([int(p.sum()) for p in points])
     comps = np.arange(len(points))
