@@ -193,8 +193,8 @@ def _merge(spans):
     begin = lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))
     return F.aggregate(
         F.array_sort(spans),
-        F.lit(None).cast("array<struct<begin:int,end:int>>"),
-        lambda acc, s: F.when(acc.isNull() | (F.size(acc) == 0), F.array(begin(s)))
+        F.array().cast("array<struct<begin:int,end:int>>"),
+        lambda acc, s: F.when(F.size(acc) == 0, F.array(begin(s)))
         .when(
             F.element_at(acc, -1)["end"] >= s["begin"],
             F.concat(
@@ -226,7 +226,7 @@ def measured(docs: DataFrame, automata: list[Automaton]) -> DataFrame:
             F.array_union("was.items", "items").alias("items"),
         )
         total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
-        out = out.select("row", "n_words", F.coalesce(total, F.lit(0)).alias("n_hit"), "spans", "items")
+        out = out.select("row", "n_words", total.alias("n_hit"), "spans", "items")
     return out
 
 

@@ -231,7 +231,7 @@ def _decode(vocabulary: Vocabulary):
         for batch in batches:
             column = batch.column("pieces")
             ids = column.flatten().to_numpy()
-            counts = np.array([len(x) if x is not None else 0 for x in column], np.int64)
+            counts = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             row, within = spread(sizes[ids])
             data = vocabulary.data[vocabulary.offsets[ids][row] + within]
             ends = np.concatenate([[0], np.cumsum(sizes[ids])])
