@@ -145,7 +145,8 @@ FROM {events}"""
 ROUTE_POINTS = """
 SELECT session_id AS route_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY c_custkey) - 1 AS BIGINT) AS pos,
        CAST(38.0 + (c_custkey * 37 % 90) * 0.001 AS DOUBLE) AS lat, CAST(-0.9 + (c_custkey * 53 % 88) * 0.001 AS DOUBLE) AS lng
-FROM {customer} JOIN (SELECT DISTINCT user_id AS session_id FROM {events}) s ON session_id = c_custkey % 150"""
+FROM {customer} CROSS JOIN (SELECT count(DISTINCT user_id) AS users FROM {events}) u
+  JOIN (SELECT DISTINCT user_id AS session_id FROM {events}) s ON session_id = c_custkey % users"""
 
 _TABLE = re.compile(r"\{(\w+)\}")
 

@@ -288,7 +288,7 @@ def g04_points(t):
     return routed(t).points.select("od_id", "pos", "node", "lat", "lng", "name")
 
 
-STEP_POINTS = f"SELECT p.route_id AS od_id, pos, lat, lng, node, CASE WHEN node % 3 = 0 THEN c_name END AS name FROM (SELECT *, route_id + 150 * pos AS node FROM ({inp.ROUTE_POINTS}) z) p JOIN {{customer}} ON c_custkey = node"
+STEP_POINTS = f"SELECT p.route_id AS od_id, pos, lat, lng, node, CASE WHEN node % 3 = 0 THEN c_name END AS name FROM (SELECT *, route_id + (SELECT count(DISTINCT user_id) FROM {{events}}) * pos AS node FROM ({inp.ROUTE_POINTS}) z) p JOIN {{customer}} ON c_custkey = node"
 DEGREES = "SELECT c_custkey AS node, CAST(1 + c_nationkey % 5 AS BIGINT) AS degree FROM {customer}"
 STEPS = f"""WITH pts AS ({duck(STEP_POINTS)}), w AS (SELECT *, lag(lat) OVER v AS p_lat, lag(lng) OVER v AS p_lng, lead(lat) OVER v AS n_lat, lead(lng) OVER v AS n_lng FROM pts WINDOW v AS (PARTITION BY od_id ORDER BY pos)),
   m AS (SELECT *, CASE WHEN p_lat IS NULL THEN 0 ELSE {sql.haversine('p_lat', 'p_lng', 'lat', 'lng')} END AS hop, {sql.bearing('p_lat', 'p_lng', 'lat', 'lng')} AS i, {sql.bearing('lat', 'lng', 'n_lat', 'n_lng')} AS o FROM w),
