@@ -278,28 +278,20 @@ def diff_snapshots(
 def next_version(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """(town, version): unchanged places keep the version, changed ones get the next, new ones 1.
 
-    old(town, version, id, ...), new(town, id, ...). Rows are compared as sets, so the order in
-    which a build wrote them does not matter.
+    old(town, version, id, ...), new(town, id, ...). Rows are compared as sets with their number of
+    repeats, value by value and null with null, so the order in which a build wrote them does not matter.
     """
-
-    def prints(df: DataFrame, *extra: Column) -> DataFrame:
-        row = F.xxhash64(F.struct(*columns))
-        return df.groupBy("town").agg(
-            F.count("*").alias("n"),
-            F.bit_xor(row).alias("x"),
-            F.sum(F.shiftright(row, 24)).alias("s"),
-            *extra,
-        )
-
-    before = prints(old, F.max("version").alias("version")).withColumnsRenamed(
-        {"n": "on", "x": "ox", "s": "os"}
-    )
-    same = (F.col("n") == F.col("on")) & (F.col("x") == F.col("ox")) & (F.col("s") == F.col("os"))
-    return prints(new).join(before, "town", "left").select(
+    row = ["town", *[c for c in columns if c != "town"]]
+    sides = old.select(*row, F.lit(1).alias("side")).unionByName(new.select(*row, F.lit(-1).alias("side")))
+    balance = sides.groupBy(*row).agg((F.sum("side") != 0).alias("differs"))
+    towns = balance.groupBy("town").agg(F.bool_or("differs").alias("differs"))
+    before = old.groupBy("town").agg(F.max("version").alias("version"))
+    now = new.select("town").distinct().join(towns, "town").join(before, "town", "left")
+    return now.select(
         "town",
         F.when(F.col("version").isNull(), 1)
-        .when(same, F.col("version"))
-        .otherwise(F.col("version") + 1)
+        .when(F.col("differs"), F.col("version") + 1)
+        .otherwise(F.col("version"))
         .cast("int")
         .alias("version"),
     )

@@ -84,6 +84,11 @@ def test_diff_version_and_gate(spark):
     cols = ["id", "name", "partida", "num", "lat", "lng", "ref"]
     versions = {r.town: r.version for r in ds.next_version(old_df.withColumn("version", F.lit(4)), new_df, cols).collect()}
     assert versions == {"t": 5, "u": 4, "v": 1}
+    # a value that moves into a null neighbour is a change; a null that stays is none; repeats count
+    before = spark.createDataFrame([("x", 4, "a", None, "1"), ("y", 2, "b", None, "1"), ("z", 7, "c", "P", "1")], "town string, version int, id string, partida string, num string")
+    after = spark.createDataFrame([("x", "a", "1", None), ("y", "b", None, "1"), ("z", "c", "P", "1"), ("z", "c", "P", "1")], "town string, id string, partida string, num string")
+    versions = {r.town: r.version for r in ds.next_version(before, after, ["id", "partida", "num"]).collect()}
+    assert versions == {"x": 5, "y": 2, "z": 8}
     gate = {r.check: r.violations for r in ds.release_gate(old_df, new_df).collect()}
     assert gate == {"lost_ids": 1, "moved_ids": 1, "duplicate_ids": 1, "numbered_with_ref": 1, "unnumbered_without_ref": 1}
 
