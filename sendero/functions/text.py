@@ -207,9 +207,12 @@ def spanish(c: Column | str) -> Column:
 def natural_key(c: Column | str) -> Column:
     """Sort key of house numbers: digit-leading first, digit runs by value, then Spanish order."""
     text = F.coalesce(as_col(c), F.lit(""))
-    width = 20
-    padded = F.regexp_replace(text, "([0-9]+)", "0" * width + "$1")
-    padded = F.regexp_replace(padded, f"0*([0-9]{{{width}}})(?![0-9])", "$1")
-    return F.struct(
-        without_number(text).alias("last"), spanish(padded).alias("text"), text.alias("raw")
-    )
+
+    def by_value(run: Column) -> Column:
+        """A digit run with its length in front, so that longer numbers follow shorter ones."""
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.when(F.rlike(run, F.lit("^[0-9]")), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
+
+    runs = F.regexp_extract_all(text, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    keyed = F.array_join(F.transform(runs, by_value), "")
+    return F.struct(without_number(text).alias("last"), spanish(keyed).alias("text"), text.alias("raw"))

@@ -90,6 +90,9 @@ def test_number_order(spark):
     df = spark.createDataFrame([("S/N",), ("12A",), ("2",), ("12",), ("100",), (None,)], "n string")
     got = [r.n for r in df.orderBy(text.natural_key("n")).collect()]
     assert got[:4] == ["2", "12", "12A", "100"] and set(got[4:]) == {"S/N", None}
+    long = spark.createDataFrame([("1" + "0" * 24,), ("9" * 21,), ("12",), ("0012B",)], "n string")
+    got = [r.n for r in long.orderBy(text.natural_key("n")).collect()]
+    assert got == ["12", "0012B", "9" * 21, "1" + "0" * 24]
 
 
 def test_geometry(spark):
