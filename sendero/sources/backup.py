@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.datasets import is_edited
+from ..operators.roads import dense_ids
 
 
 class Backup:
@@ -78,24 +79,35 @@ def read_backup(spark: SparkSession, path: str) -> Backup:
     return Backup(files, addresses, edits)
 
 
-def backup_document(
-    addresses: DataFrame, places: DataFrame, app: str, version: int, exported_at: str
-) -> DataFrame:
-    """(value): the backup of one device as JSON text; placeEdits only when there are any."""
-    address = F.struct(
+def _address() -> Column:
+    return F.struct(
         "id", "name", "address", "notes", "lat", "lng",
         F.col("created_at").alias("createdAt"), F.col("updated_at").alias("updatedAt"),
     )
-    own = addresses.agg(F.array_sort(F.collect_list(address)).alias("addresses"))
+
+
+def _edit() -> Column:
     blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
-    edit = F.struct(
+    return F.struct(
         "id", "town", "name", "partida", "num", "lat", "lng", blank("ref"), blank("address"), blank("notes"),
         "edited", F.col("updated_at").alias("updatedAt"),
     )
-    edits = places.filter(is_edited()).agg(F.array_sort(F.collect_list(edit)).alias("all"))
-    edits = edits.select(F.when(F.size("all") > 0, F.col("all")).alias("placeEdits"))
+
+
+def _as_json(app: str, version: int, exported_at: str) -> Column:
+    """A document of ``addresses`` and ``edits``; placeEdits only when there are any."""
     head = [F.lit(app).alias("app"), F.lit(version).alias("version"), F.lit(exported_at).alias("exportedAt")]
-    return own.join(edits).select(F.to_json(F.struct(*head, "addresses", "placeEdits")).alias("value"))
+    some = F.when(F.size("edits") > 0, F.col("edits")).alias("placeEdits")
+    return F.to_json(F.struct(*head, "addresses", some)).alias("value")
+
+
+def backup_document(
+    addresses: DataFrame, places: DataFrame, app: str, version: int, exported_at: str
+) -> DataFrame:
+    """(value): the backup of one device as JSON text; placeEdits only when there are any."""
+    own = addresses.agg(F.array_sort(F.collect_list(_address())).alias("addresses"))
+    edits = places.filter(is_edited()).agg(F.array_sort(F.collect_list(_edit())).alias("edits"))
+    return own.join(edits).select(_as_json(app, version, exported_at))
 
 
 def write_backup(
@@ -105,10 +117,24 @@ def write_backup(
     app: str,
     version: int,
     exported_at: str,
-    max_rows: int = 100_000,
+    part_rows: int = 100_000,
 ) -> None:
-    """Backup of one device. What a person saved is small; larger input is refused."""
-    rows = addresses.count() + places.filter(is_edited()).count()
-    if rows > max_rows:
-        raise ValueError(f"{rows} rows are more than one device's backup of {max_rows}")
-    backup_document(addresses, places, app, version, exported_at).coalesce(1).write.text(path)
+    """Backup files of at most ``part_rows`` rows, each a whole document; ``read_backup`` reads the folder.
+
+    What a person saved makes one file. More rows make more files, in the order of ids.
+    """
+    own = addresses.select(F.lit("address").alias("kind"), "id", _address().alias("address"))
+    edited = places.filter(is_edited()).select(F.lit("edit").alias("kind"), "id", _edit().alias("edit"))
+    placed = dense_ids(own.unionByName(edited, allowMissingColumns=True), ["kind", "id"], "place")
+
+    def in_order(kind: str) -> Column:
+        mine = F.when(F.col("kind") == kind, F.struct("place", kind))
+        return F.transform(F.array_sort(F.collect_list(mine)), lambda x: x[kind])
+
+    parts = placed.groupBy(F.floor(F.col("place") / part_rows).alias("part")).agg(
+        in_order("address").alias("addresses"), in_order("edit").alias("edits")
+    )
+    documents = parts.select(_as_json(app, version, exported_at))
+    if documents.isEmpty():
+        documents = backup_document(addresses, places, app, version, exported_at)
+    documents.write.option("maxRecordsPerFile", 1).text(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.datasets import upsert_manifest
+from ..operators.roads import dense_ids
 
 PLACE = "struct<id: string, name: string, partida: string, num: string, lat: double, lng: double, ref: string>"
 TOWN = f"id string, name string, source string, sourceDate string, version int, count int, places array<{PLACE}>"
@@ -87,24 +88,25 @@ def read_written_towns(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
 
 
 def write_town_documents(
-    places: DataFrame, headers: DataFrame, folder: str, max_places: int = 200_000
+    places: DataFrame, headers: DataFrame, folder: str, part_places: int = 200_000
 ) -> None:
-    """One JSON document per town for devices, which load a town as a whole.
+    """JSON documents for devices: one per town, or several for a town of more than ``part_places``.
 
-    A document is one row, so its size is checked first; larger towns go with ``write_towns``.
+    Each document has the town's header, the number of its own places and its part number, from 0. Together
+    the parts hold the whole town in order; ``read_towns`` reads them like one document.
     """
-    largest = places.groupBy("town").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if largest > max_places:
-        raise ValueError(f"a town has {largest} places, more than {max_places} for one document")
-    key = ["partida", "num", "id"]
-    ordered = F.array_sort(F.collect_list(F.struct(F.struct(*key).alias("key"), F.struct(*PLACE_COLUMNS).alias("p"))))
-    listed = places.groupBy(F.col("town").alias("id")).agg(
+    order = ["town", "partida", "num", "id"]
+    placed = dense_ids(places.select("town", *PLACE_COLUMNS), order, "place")
+    first = placed.groupBy("town").agg(F.min("place").alias("first"))
+    parts = placed.join(first, "town").withColumn("part", F.floor((F.col("place") - F.col("first")) / part_places).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.struct(*PLACE_COLUMNS).alias("p"))))
+    listed = parts.groupBy(F.col("town").alias("id"), "part").agg(
         F.count("*").cast("int").alias("count"), F.transform(ordered, lambda x: x["p"]).alias("places")
     )
     docs = headers.join(listed, "id").select(
-        F.col("id").alias("file"), "id", "name", "source", "sourceDate", "version", "count", "places"
+        F.col("id").alias("file"), "id", "name", "source", "sourceDate", "version", "part", "count", "places"
     )
-    docs.write.partitionBy("file").json(folder)
+    docs.write.partitionBy("file").option("maxRecordsPerFile", 1).json(folder)
 
 
 def write_manifest(towns: DataFrame, artifacts: DataFrame, entries: DataFrame, path: str) -> None:

@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from sendero.operators import addresses as ad
@@ -53,8 +52,11 @@ def test_towns_and_manifest(spark, tmp_path):
     text = spark.read.text(str(tmp_path / "docs" / "*")).first().value
     back = json.loads(text)
     assert back["count"] == 2 and back["places"][0] == doc["places"][0] and "ref" not in back["places"][0]
-    with pytest.raises(ValueError):
-        towns.write_town_documents(rows, head, str(tmp_path / "docs2"), max_places=1)
+    towns.write_town_documents(rows, head, str(tmp_path / "docs2"), part_places=1)
+    parts = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "docs2" / "*")).collect()]
+    assert sorted((p["part"], p["places"][0]["id"], p["count"]) for p in parts) == [(0, "a-1", 1), (1, "a-sn", 1)]
+    again = towns.read_towns(spark, str(tmp_path / "docs2" / "*"))
+    assert {(r.town, r.id) for r in again.collect()} == {("t", "a-1"), ("t", "a-sn")}
 
 
 def test_osm_later_tile_wins(spark, tmp_path):
@@ -80,6 +82,13 @@ def test_backup(spark, tmp_path):
     none = spark.createDataFrame([], "town string, id string, name string, partida string, num string, lat double, lng double, ref string, address string, notes string, edited boolean, updated_at string")
     doc = json.loads(backup.backup_document(own, none, "app", 1, "now").first().value)
     assert "placeEdits" not in doc and doc["addresses"][0]["createdAt"] == "c"
+    two = own.unionByName(own.withColumn("id", F.lit("2")))
+    edited = none.unionByName(own.select(F.lit("t").alias("town"), "id", "name", F.lit(True).alias("edited"), F.lit("u").alias("updated_at")), allowMissingColumns=True)
+    backup.write_backup(two, edited, str(tmp_path / "parts"), "app", 1, "now", part_rows=1)
+    read = backup.read_backup(spark, str(tmp_path / "parts"))
+    assert read.files.count() == 3 and {r.id for r in read.addresses.collect()} == {"1", "2"} and read.edits.count() == 1
+    backup.write_backup(own.limit(0), none, str(tmp_path / "empty"), "app", 1, "now")
+    assert backup.read_backup(spark, str(tmp_path / "empty")).files.first().accepted
 
 
 def test_graph_tables(spark, tmp_path):
