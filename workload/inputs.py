@@ -100,11 +100,11 @@ SELECT o_orderkey AS way_id,
 FROM {orders}"""
 
 RESTRICTIONS = """
-SELECT s_suppkey AS rel_id, 46 + (s_suppkey * 37) % 1900 AS via,
-       CAST(floor((46 + (s_suppkey * 37) % 1900) / 45.0) AS BIGINT) AS from_way, 1000 + (46 + (s_suppkey * 37) % 1900) % 45 AS to_way,
+SELECT s_suppkey AS rel_id, 46 + (s_suppkey * 37) % n AS via,
+       CAST(floor((46 + (s_suppkey * 37) % n) / 45.0) AS BIGINT) AS from_way, 1000 + (46 + (s_suppkey * 37) % n) % 45 AS to_way,
        CASE s_suppkey % 5 WHEN 0 THEN 'no_left_turn' WHEN 1 THEN 'only_straight_on' WHEN 2 THEN 'no_u_turn' WHEN 3 THEN 'no_entry' ELSE 'other' END AS restriction,
        CASE WHEN s_suppkey % 11 = 0 THEN 'bicycle;motorcar' ELSE '' END AS except_val
-FROM {supplier}"""
+FROM {supplier} JOIN (SELECT count(*) - 100 AS n FROM {part}) c ON true"""
 
 OWN = """
 SELECT CAST(s_suppkey * 7 AS STRING) AS id, concat('Casa ', CAST(s_suppkey * 5 AS STRING)) AS name, '' AS address, s_name AS notes,
