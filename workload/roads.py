@@ -304,10 +304,10 @@ def g05(t):
     return routes.route_steps(t(STEP_POINTS), t(DEGREES)).withColumn("dist_m", F.round("dist_m", 3))
 
 
-@query("j09_snap", f"SELECT event_id AS point_id, round(d, 3) AS dist_m FROM (SELECT event_id, min({sql.haversine('f.lat', 'f.lng', 'n.lat', 'n.lng')}) AS d FROM ({FIXES}) f JOIN ({NODES}) n ON true GROUP BY event_id) WHERE d <= 500")
+@query("j09_snap", f"SELECT event_id AS point_id, node_id, round(d, 3) AS dist_m FROM (SELECT event_id, arg_min(node_id, (d, node_id)) AS node_id, min(d) AS d FROM (SELECT event_id, node_id, {sql.haversine('f.lat', 'f.lng', 'n.lat', 'n.lng')} AS d FROM ({FIXES}) f JOIN ({NODES}) n ON true) GROUP BY event_id) WHERE d <= 500")
 def j09(t):
     points = t(inp.FIXES).select(F.col("event_id").alias("point_id"), "lat", "lng")
-    return routes.snap_to_nodes(points, nodes(t)).select("point_id", F.round("dist_m", 3).alias("dist_m"))
+    return routes.snap_to_nodes(points, nodes(t)).select("point_id", "node_id", F.round("dist_m", 3).alias("dist_m"))
 
 
 NEAREST = f"""(SELECT event_id AS fix_id, min(d) AS dist_m, arg_min(pos, (d, pos)) AS point_index FROM (SELECT f.event_id, pos, CASE WHEN n_lat IS NULL THEN {sql.haversine('f.lat', 'f.lng', 'r.lat', 'r.lng')} ELSE {sql.segment_dist('f.lat', 'f.lng', 'r.lat', 'r.lng', 'n_lat', 'n_lng')} END AS d
