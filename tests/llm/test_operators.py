@@ -257,6 +257,65 @@ def test_chunks_laid_end_to_end_are_the_text(spark):
     assert all("".join(x for chunk in r["c"] for x in chunk) == r["text"] for r in rows)
 
 
+def brute_lines_lost(texts, long_words=50, least=10):
+    """Per text, what the rule says must go: words (with their line) in a run that stands earlier."""
+    blanks = " \t\n\x0b\x0c\r"
+    seen, out = set(), []
+    for text in texts:
+        lines = re.split(r"(?<=\n)|(?<=[.!?] )", text)
+        bare = [x.strip(blanks) for x in lines]
+        n = [len(WORD.findall(x)) for x in bare]
+        drop = [set() for _ in lines]
+        for k in range(len(lines)):
+            cases = [(bare[k], [(k, None)])] if n[k] >= least else []
+            if k + 1 < len(lines) and bare[k] and bare[k + 1] and min(n[k], n[k + 1]) < least:
+                cases.append((bare[k] + "\n" + bare[k + 1], [(k, None), (k + 1, None)]))
+            if n[k] > long_words:
+                w = WORD.findall(bare[k])
+                cases += [(" ".join(w[i : i + least]), [(k, j) for j in range(i, i + least)]) for i in range(n[k] - least + 1)]
+            for content, places in cases:
+                if content in seen:
+                    for line, word in places:
+                        drop[line] |= set(range(n[line])) if word is None else {word}
+                seen.add(content)
+        out.append([w for k, x in enumerate(bare) for i, w in enumerate(WORD.findall(x)) if i not in drop[k]])
+    return out
+
+
+def test_line_dedup_finds_passages_of_50_to_100_words_in_any_context(spark):
+    rng = random.Random(16)
+    word = lambda: f"v{rng.randrange(10**8)}"
+    sentences = lambda n, sizes: " ".join(" ".join(word() for _ in range(rng.choice(sizes))) + "." for _ in range(n))
+    passages, texts = [], []
+    for sizes in [(3, 7, 12, 20), (4, 5, 6), (13, 25), (30,)]:
+        for _ in range(15):
+            passage = ""
+            while len(passage.split()) < 50:
+                passage = (passage + " " + sentences(1, sizes)).strip()
+            passages.append(passage)
+    plain = [" ".join(word() for _ in range(rng.randrange(50, 101))) for _ in range(15)]
+    for passage in passages:
+        texts += [f"{sentences(3, (4, 15))} {passage} {sentences(3, (4, 15))}" for _ in range(2)]
+    for passage in plain:  # in one line without marks
+        around = lambda: " ".join(word() for _ in range(rng.randrange(20, 60)))
+        texts += [f"{around()} {passage} {around()}" for _ in range(2)]
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert [rows[k]["text"] for k in range(0, len(texts), 2)] == texts[::2]
+    for k, passage in enumerate(passages + plain):
+        assert not set(passage.split()) & set(rows[2 * k + 1]["text"].split())
+        assert rows[2 * k + 1]["text"].split() == [w for w in texts[2 * k + 1].split() if w not in set(passage.split())]
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(26)
+    pool = [" ".join(f"p{rng.randrange(60)}" for _ in range(rng.choice((1, 2, 5, 9, 10, 14, 60)))) for _ in range(25)]
+    texts = ["".join(rng.choice(pool) + rng.choice((". ", "!\n", "\n", " ")) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts = list(dict.fromkeys(texts))
+    want = brute_lines_lost(texts)
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert [WORD.findall(rows[k]) for k in range(len(texts))] == want
+
+
 # --- 6
 
 
