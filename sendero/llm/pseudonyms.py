@@ -6,10 +6,12 @@ written back in the format it came in. The permutation depends on the kind, the
 alone: equal values stay linked across documents, however they are punctuated, and with the key
 ``undo`` gets the values back (a day or month written without a leading zero may come back with one). What fails its check (a card's Luhn digit, a day that does not exist) stays as it is.
 
-Kinds, tried in this order at each place: e-mail (letters and digits of the local part), card (13 to 19
-digits with a valid Luhn digit: issuer digit kept, Luhn digit made anew), phone (ten-digit numbers of
-the North American plan), social security number, IPv4 address, date (ISO, d.m.yyyy, m/d/yyyy; years
-1800 to 2199, which are a whole cycle of the calendar).
+Kinds, tried in this order at each place: e-mail (letters and digits of the local part; a single one is
+shifted by a keyed function of the domain), card (13 to 19 digits with a valid Luhn digit: issuer digit
+kept, Luhn digit made anew), phone (ten digits in the formats of the North American plan; the first digits
+of area and exchange stay within 2 to 9, or within 0 and 1 for numbers outside the plan), social security
+number, IPv4 address, date (ISO, d.m.yyyy, m/d/yyyy, also before T and a time; years 1800 to 2199, which are
+a whole cycle of the calendar).
 
 Nulls: a null text stays null with no values. Repeated rows get equal texts. All other columns are
 carried. An empty key is refused.
@@ -27,10 +29,10 @@ KINDS = ("email", "card", "phone", "ssn", "ipv4", "date")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ipv4": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?:(?![0-9A-Za-z/-]|\.[0-9])|(?=[Tt][0-9]{2}:?[0-9]{2}))",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 CYCLE = (189, 773)  # 146097 days in 400 years
@@ -120,10 +122,12 @@ def _phone(s: Column, key: str, undo: bool) -> Column:
     def body(d: Column) -> Column:
         country = F.slice(d, F.lit(1), F.size(d) - 10)
         ten = F.slice(d, F.size(d) - 9, F.lit(10))
-        low = lambda i: F.when((i == 0) | (i == 3), F.lit(2)).otherwise(F.lit(0))
-        values = F.transform(ten, lambda x, i: x - low(i))
-        moved = permute(values, _radix(ten, lambda i: 10 - low(i)), "phone", key, undo)
-        return _fill(s, F.concat(country, F.transform(moved, lambda x, i: x + low(i))))
+        first = lambda i: (i == 0) | (i == 3)
+        low = lambda x, i: F.when(first(i) & (x > 1), F.lit(2)).otherwise(F.lit(0))
+        base = lambda x, i: F.when(first(i), F.when(x > 1, F.lit(8)).otherwise(F.lit(2))).otherwise(F.lit(10))
+        values = F.transform(ten, lambda x, i: x - low(x, i))
+        moved = permute(values, F.transform(ten, base), "phone", key, undo)
+        return _fill(s, F.concat(country, F.transform(moved, lambda x, i: x + low(F.get(ten, i), i))))
 
     return once(_digits(s), body)
 
@@ -189,7 +193,14 @@ def _email(s: Column, key: str, undo: bool) -> Column:
         back = F.zip_with(moved, chars, lambda v, c: F.chr(v + low(c)))
         return F.concat(F.array_join(back, ""), F.substring(s, F.length(local) + 1, F.lit(1 << 20)))
 
-    return F.when(F.length(local) > 1, once(_chars(local), body))
+    def single(c: Column) -> Column:
+        domain = F.lower(F.substring(s, 2, 1 << 20))
+        said = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), domain), 256)
+        shift = 1 + F.conv(F.substring(said, 1, 12), 16, 10).cast("bigint") % F.greatest(size(c) - 1, F.lit(1))
+        moved = F.pmod(code(c) - low(c) - shift if undo else code(c) - low(c) + shift, size(c)).cast("int")
+        return F.when(size(c) > 1, F.concat(F.chr(moved + low(c)), F.substring(s, 2, 1 << 20)))
+
+    return F.when(F.length(local) > 1, once(_chars(local), body)).otherwise(once(local, single))
 
 
 _CHANGES = {"email": _email, "card": _card, "phone": _phone, "ssn": _ssn, "ipv4": _ipv4, "date": _date}

@@ -452,6 +452,26 @@ def test_pseudonyms_keep_format_validity_and_links(spark):
         pseudonyms.pseudonymise(docs, "")
 
 
+def test_pseudonyms_of_phones_outside_the_plan_times_and_short_mailboxes(spark):
+    texts = [
+        "+1 (017) 555-7713, 117-055-7713 and 1.217.155.7713",
+        "at 2024-02-29T10:00Z and 2024-02-29t1000, not 2024-02-29Tue",
+        "a@x.org, A@X.org, 7@x.org, a@y.org; _@x.org",
+    ]
+    texts += [f"({area:03d}) 555-7713" for area in range(0, 1000, 37)]
+    out = pseudonyms.pseudonymise(table(spark, texts), "key")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert [rows[0]["n_phone"], rows[1]["n_date"], rows[2]["n_email"]] == [3, 2, 4]
+    assert all(rows[k]["n_phone"] == 1 and rows[k]["text"] != texts[k] for k in range(3, len(texts)))
+    assert not re.search("017|7713", rows[0]["text"]) and re.sub(r"\d", "9", rows[0]["text"]) == re.sub(r"\d", "9", texts[0])
+    day = re.findall(r"\d{4}-\d{2}-\d{2}", rows[1]["text"])
+    assert day[0] == day[1] != "2024-02-29" == day[2] and "T10:00Z" in rows[1]["text"]
+    old, new = (re.findall(r"(\w)@", t) for t in (texts[2], rows[2]["text"]))
+    assert all(a != b for a, b in zip(old[:4], new[:4], strict=True)) and new[0] == new[1].lower() and new[4] == "_"
+    back = pseudonyms.pseudonymise(out.select("doc_id", "text"), "key", undo=True)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts))
+
+
 def test_feistel_is_a_permutation(spark):
     grid = [(a, b) for a in range(7) for b in range(11)]
     rows = spark.createDataFrame(grid, "a int, b int")
