@@ -316,6 +316,13 @@ def test_line_dedup_against_brute_force(spark):
     assert [WORD.findall(rows[k]) for k in range(len(texts))] == want
 
 
+def test_line_dedup_sees_through_blank_lines(spark):
+    lines = ["Menu one", "Menu two", "Menu three", "a long line of more than ten words that stands alone here"]
+    texts = ["\n".join(lines), "\n\n".join(lines), "\n \n\t\n".join(lines), "\n\nown\n\n" + lines[3]]
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert rows[0] == texts[0] and [rows[k].split() for k in (1, 2, 3)] == [[], [], ["own"]]
+
+
 # --- 6
 
 
