@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import scratch
-from . import compression, decontamination, jaccard_join, line_dedup, piece_sampling, pseudonyms, secrets, toxicity, url_rules, warc
+from . import (
+    compression,
+    decontamination,
+    jaccard_join,
+    line_dedup,
+    periodic_runs,
+    piece_sampling,
+    pseudonyms,
+    secrets,
+    toxicity,
+    url_rules,
+    warc,
+)
 from .oracles import ORACLES as ORACLES
 from .tables import read
 
@@ -81,6 +93,11 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return periodic_runs.digest(periodic_runs.find_runs(docs, periodic_runs.test_pattern("doc_id")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +117,7 @@ QUERIES = {
         op8_secret_scans,
         op9_pii_pseudonyms,
         op10_piece_sampling,
+        op12_periodic_runs,
         pipeline,
     )
 }
