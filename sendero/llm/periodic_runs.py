@@ -194,12 +194,14 @@ def runs_of(words: np.ndarray, first: np.ndarray) -> Runs:
     order = order[sizes[order] >= LEAST_WORDS]
     line, begin = _closed(words, first, order)
     place, period = candidates(line, sizes[order])
-    with_hits = np.unique(np.searchsorted(begin, place, "right") - 1)
+    text = np.searchsorted(begin, place, "right") - 1
+    within = text == np.searchsorted(begin, place + period, "right") - 1
+    place, period, text = place[within], period[within], text[within]
+    with_hits = np.unique(text)
     if not len(with_hits):
         none = np.zeros(0, np.int64)
         return Runs(none, none, none, none)
     # the grammar covers the texts with candidates only
-    text = np.searchsorted(begin, place, "right") - 1
     inner = place - begin[text]
     line, begin = _closed(words, first, order[with_hits])
     place = begin[np.searchsorted(with_hits, text)] + inner

@@ -108,6 +108,16 @@ def test_runs_are_those_of_brute_force(spark, monkeypatch, size):
     assert pr.digest(pr.find_runs(docs.limit(0))).collect() == []
 
 
+def test_runs_of_many_short_texts_at_once():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(0, 60, 400)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    words = rng.integers(0, 2, first[-1]) * rng.integers(1, 40, 400).repeat(sizes)
+    got = pr.runs_of(words, first)
+    want = [(t, *r) for t in range(400) for r in brute(list(words[first[t] : first[t + 1]]))]
+    assert [tuple(map(int, r)) for r in zip(*got, strict=True)] == want
+
+
 def test_a_long_text_of_one_word():
     words, first = np.zeros(20000, np.int64), np.array([0, 20000])
     assert [tuple(map(int, r)) for r in zip(*pr.runs_of(words, first), strict=True)] == [(0, 0, 20000, 1)]
