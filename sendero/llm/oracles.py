@@ -76,7 +76,50 @@ s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (ki
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
   sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)"""
 
+#: Unsigned crc32 of a string of ASCII characters; eight shifts a character.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i, 1))::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"""
+
+
+def _merkle() -> str:
+    """Trees level by level: m are nodes, r runs of eight, p the ways up from each leaf."""
+    fields = lambda text: " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = _CRC32.format(s="doc_id::VARCHAR")
+    out = [
+        f"d AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '-') AS t, sha256({fields('text')}) AS h, "
+        f"CASE WHEN {crc} % 3 = 0 THEN sha256({fields(low)}) ELSE sha256({fields('text')}) END AS f FROM documents)",
+        "m0 AS MATERIALIZED (SELECT doc_id, t, row_number() OVER (PARTITION BY t ORDER BY doc_id) - 1 AS j, h, f FROM d)",
+        "p0 AS MATERIALIZED (SELECT doc_id, t, j, h, h AS u, f, '' AS proof FROM m0)",
+    ]
+
+    def levels(m: str, r: str, p: str, n: int) -> None:
+        for k in range(n):
+            out.append(
+                f"{r}{k} AS MATERIALIZED (SELECT t, j // 8 AS j, string_agg(h, '' ORDER BY j) AS run, sha256(string_agg(h, '' ORDER BY j)) AS h "
+                f"FROM {m}{k} WHERE t IN (SELECT t FROM {m}{k} GROUP BY t HAVING count(*) > 1) GROUP BY t, j // 8)"
+            )
+            out.append(f"{m}{k + 1} AS MATERIALIZED (SELECT t, j, h FROM {r}{k})")
+            left, right = "substr(run, 1, 64 * (p.j % 8))", "substr(run, 64 * (p.j % 8) + 65)"
+            fold = lambda x: f"CASE WHEN run IS NULL THEN p.{x} ELSE sha256({left} || p.{x} || {right}) END AS {x}"
+            out.append(
+                f"{p}{k + 1} AS MATERIALIZED (SELECT p.* EXCLUDE (j, u, f, proof), p.j // 8 AS j, {fold('u')}, {fold('f')}, "
+                f"proof || coalesce({left} || {right}, '') AS proof FROM {p}{k} p LEFT JOIN {r}{k} r ON r.t = p.t AND r.j = p.j // 8)"
+            )
+
+    levels("m", "r", "p", 9)
+    alone = " UNION ALL ".join(f"SELECT t, h FROM m{k} WHERE t IN (SELECT t FROM m{k} GROUP BY t HAVING count(*) = 1)" for k in range(10))
+    out.append(f"v AS MATERIALIZED (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS j FROM ({alone}))")
+    out.append("n0 AS MATERIALIZED (SELECT '' AS t, j, h FROM v)")
+    out.append("q0 AS MATERIALIZED (SELECT p.doc_id, p.h, '' AS t, v.j, p.u AS subroot, p.u, p.f, p.proof FROM p9 p JOIN v USING (t))")
+    levels("n", "s", "q", 3)
+    return (
+        "WITH " + ",\n".join(out) + "\nSELECT doc_id, h AS leaf, subroot, u AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u AS verified FROM q3"
+    )
+
+
 ORACLES = {
+    "op11_merkle_manifest": _merkle(),
     "op1_ngram_jaccard_join": JACCARD,
     "op2_benchmark_decontamination": DECONTAMINATION,
     "op6_url_filters": URLS,

@@ -24,7 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .texts import NOT_SPACE, Texts, Words, in_arrow, mix, ragged, slices, spread, words_of
@@ -283,27 +283,30 @@ def _joined(texts: Texts, start: np.ndarray, end: np.ndarray, counts: np.ndarray
     return [whole[a : max(a, b - 1)].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _find(batches):
-    for part, texts in slices(batches, size=SLICE):
-        words = words_of(texts, NOT_SPACE)
-        seeds = np.asarray(part.column("seed").to_numpy(zero_copy_only=False), np.int64)
-        source = planted(words.first, seeds)
-        start, end = words.start[source], words.end[source]
-        runs = runs_of(numbered(texts, words)[source], words.first)
-        kept = ~dropped(runs, words.first)
-        n_words = np.diff(words.first)
-        left = np.bincount(words.text[kept], minlength=len(texts))
-        counts = np.bincount(runs.text, minlength=len(texts))
-        columns = [
-            part.column("doc_id"),
-            pa.array(n_words),
-            *(ragged(x, counts, pa.int64()) for x in (runs.start, runs.length, runs.period)),
-            pa.array(_joined(texts, start[kept], end[kept], left), pa.string()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
-
-
-def find_runs(docs: DataFrame, seed=None) -> DataFrame:
+def _find(size: int):
+    def run(batches):
+        for part, texts in slices(batches, size=size):
+            words = words_of(texts, NOT_SPACE)
+            seeds = np.asarray(part.column("seed").to_numpy(zero_copy_only=False), np.int64)
+            source = planted(words.first, seeds)
+            start, end = words.start[source], words.end[source]
+            runs = runs_of(numbered(texts, words)[source], words.first)
+            kept = ~dropped(runs, words.first)
+            n_words = np.diff(words.first)
+            left = np.bincount(words.text[kept], minlength=len(texts))
+            counts = np.bincount(runs.text, minlength=len(texts))
+            columns = [
+                part.column("doc_id"),
+                pa.array(n_words),
+                *(ragged(x, counts, pa.int64()) for x in (runs.start, runs.length, runs.period)),
+                pa.array(_joined(texts, start[kept], end[kept], left), pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
+
+    return run
+
+
+def find_runs(docs: DataFrame, seed: Column | None = None, size: int = SLICE) -> DataFrame:
     """(doc_id, n_words, run_start, run_length, run_period, collapsed) of docs(doc_id, text).
 
     The arrays hold all runs by start, then period; collapsed is the text's words, joined by spaces, with
@@ -311,10 +314,10 @@ def find_runs(docs: DataFrame, seed=None) -> DataFrame:
     from word ``seed % n`` on: a test pattern.
     """
     chosen = F.coalesce(F.lit(None).cast("bigint") if seed is None else seed, F.lit(-1).cast("bigint"))
-    return in_arrow(docs.select("doc_id", "text", chosen.alias("seed")), _find, SCHEMA)
+    return in_arrow(docs.select("doc_id", "text", chosen.alias("seed")), _find(size), SCHEMA)
 
 
-def test_pattern(doc_id) -> F.Column:
+def test_pattern(doc_id: str) -> Column:
     """The seed of every tenth document by checksum."""
     check = F.crc32(F.col(doc_id).cast("string").cast("binary"))
     return F.when(check % 10 == 0, F.floor(check / 10).cast("bigint"))

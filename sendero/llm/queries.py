@@ -11,10 +11,12 @@ from . import (
     decontamination,
     jaccard_join,
     line_dedup,
+    merkle_log,
     periodic_runs,
     piece_sampling,
     pseudonyms,
     secrets,
+    token_counts,
     toxicity,
     url_rules,
     warc,
@@ -23,6 +25,7 @@ from .oracles import ORACLES as ORACLES
 from .tables import read
 
 PSEUDONYM_KEY = "change me: the key decides the permutation"
+TOKEN_LIMIT = 512
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -93,11 +96,29 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    check = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = merkle_log.manifest(
+        read(spark, sf_dir, "documents"),
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        "lang",
+        changed={"text": F.translate("text", upper, upper.lower())},
+        where=check % 3 == 0,
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return periodic_runs.digest(periodic_runs.find_runs(docs, periodic_runs.test_pattern("doc_id")))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts.count(read(spark, sf_dir, "documents"), token_counts.load())
+    return rows.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,7 +138,9 @@ QUERIES = {
         op8_secret_scans,
         op9_pii_pseudonyms,
         op10_piece_sampling,
+        op11_merkle_manifest,
         op12_periodic_runs,
+        op13_token_counts,
         pipeline,
     )
 }

@@ -95,11 +95,10 @@ def test_common_extensions_are_those_of_a_scan():
 
 
 @pytest.mark.parametrize("size", [200, 1 << 20])
-def test_runs_are_those_of_brute_force(spark, monkeypatch, size):
+def test_runs_are_those_of_brute_force(spark, size):
     rows = [(k, t, None) for k, t in enumerate(texts())] + [(None, "a b " * 5, None), (3, "one", None), (3, "one", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, seed string").repartition(3)
-    monkeypatch.setattr(pr, "SLICE", size)
-    got = pr.digest(pr.find_runs(docs, pr.test_pattern("doc_id"))).collect()
+    got = pr.digest(pr.find_runs(docs, pr.test_pattern("doc_id"), size)).collect()
     want = [expected(k, t) for k, t, _ in rows]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert sum(w[1] for w in want) > 50
