@@ -117,15 +117,27 @@ class GuidanceProcessor(StatefulProcessor):
     """Arrival, off-route requests and verified heading of each session.
 
     Fixes are taken in time order within a batch; one not later than the last seen is ignored.
-    The state of a session that stays silent for ``ttl_ms`` is dropped.
+    The state of a session that stays silent for ``ttl_ms`` is dropped. With ``idle_ms`` time is that of the fixes:
+    a session whose last fix is that far behind the watermark, arrived or not, gives a row of kind ``expired`` and its state is released, and
+    fixes that come too late for their session are not ignored but given as rows of kind ``late``.
     """
 
-    def __init__(self, ttl_ms: int | None = None):
+    def __init__(self, ttl_ms: int | None = None, idle_ms: int | None = None):
         self.ttl_ms = ttl_ms
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.session = handle.getValueState("session", STATE, self.ttl_ms)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.session.exists():
+            return
+        last = self.session.get()
+        self.session.clear()
+        row = (key[0], None, pd.Timestamp(last[5], unit="us"), "expired", last[4], *[None] * len(GUIDE))
+        yield _frame([row])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.session.get() if self.session.exists() else (0, False, None, None, None, None)
         off, arrived, last_lat, last_lng, heading, last_us = state
@@ -133,6 +145,8 @@ class GuidanceProcessor(StatefulProcessor):
         out = []
         for fix in fixes.itertuples(index=False):
             if last_us is not None and fix.us <= last_us:
+                if self.idle_ms:
+                    out.append((key[0], fix.fix_id, fix.ts, "late", heading, *[None] * len(GUIDE)))
                 continue
             last_us = fix.us
             if arrived:
@@ -155,29 +169,43 @@ class GuidanceProcessor(StatefulProcessor):
             guide = [getattr(fix, c) if kind == "guidance" else None for c in GUIDE]
             out.append((key[0], fix.fix_id, fix.ts, kind, heading, *guide))
         self.session.update((off, arrived, last_lat, last_lng, heading, last_us))
-        columns = ["session_id", "fix_id", "ts", "kind", "heading", *GUIDE]
-        yield pd.DataFrame(out, columns=columns).astype({"heading": "float64", "point_index": "Int64"})
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(last_us) // 1000 + self.idle_ms)
+        yield _frame(out)
 
     def close(self) -> None:
         pass
 
 
-def guide(fixes: DataFrame, routes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    columns = ["session_id", "fix_id", "ts", "kind", "heading", *GUIDE]
+    return pd.DataFrame(rows, columns=columns).astype({"fix_id": "Int64", "heading": "float64", "point_index": "Int64"})
+
+
+def guide(
+    fixes: DataFrame, routes: DataFrame, ttl_ms: int | None = None, idle_ms: int | None = None, lateness: str | None = None
+) -> DataFrame:
     """Guidance records of a stream of fixes: kind is guidance, reroute or arrived.
 
     A reroute row carries no guidance: it asks the routing job for a new route, from whose first
     point the session goes on. After arrival a session gives nothing more.
 
     Give ``ttl_ms`` to a stream that runs for good. A processing-time state keeps asking for
-    batches, so a stream that should end by itself (availableNow) goes without.
+    batches, so a stream that should end by itself (availableNow) goes without. With ``idle_ms`` sessions
+    expire by the time of the fixes instead; the watermark stays ``lateness`` behind the newest fix, and
+    what is older than that is not taken at all.
     """
+    if idle_ms:
+        fixes = fixes.withWatermark("ts", lateness or "0 seconds")
     return (
         matched_fixes(fixes, routes)
         .groupBy("session_id")
         .transformWithStateInPandas(
-            statefulProcessor=GuidanceProcessor(ttl_ms),
+            statefulProcessor=GuidanceProcessor(ttl_ms, idle_ms),
             outputStructType=OUTPUT,
-            outputMode="Update",
-            timeMode="ProcessingTime" if ttl_ms else "None",
+            outputMode="Append" if idle_ms else "Update",
+            timeMode="EventTime" if idle_ms else "ProcessingTime" if ttl_ms else "None",
         )
     )

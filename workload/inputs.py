@@ -83,6 +83,47 @@ SELECT edge_id, a, b, cost_cs, oneway, cls, name, way_id FROM (
          'residential', CASE WHEN u.gx % 3 = 0 THEN concat('Avenida ', CAST(u.gx AS STRING)) END, 1000 + u.gx
   FROM ({NODES}) u JOIN ({NODES}) v ON v.gx = u.gx AND v.gy = u.gy + 1) e"""
 
+# roads of one customer each: its orders in a row, from one junction to another, some one-way, some with hairpin bends
+_CHAINS = """
+SELECT o_orderkey, o_custkey, i, k, j, prev_key, c_a AS a, (c_a + 1 + o_custkey % (j - 1)) % j AS b FROM (
+  SELECT o_orderkey, o_custkey, j, (o_custkey * 31) % j AS c_a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i,
+         count(*) OVER (PARTITION BY o_custkey) AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev_key
+  FROM {orders} JOIN (SELECT CAST(greatest(5, floor(count(*) / 10.0)) AS BIGINT) AS j FROM {customer}) n ON true) x"""
+
+CHAIN_EDGES = f"""
+SELECT o_orderkey AS edge_id, CASE WHEN i = 1 THEN a ELSE j + prev_key END AS a, CASE WHEN i = k THEN b ELSE j + o_orderkey END AS b,
+       CAST(o_orderkey % 90 + 10 AS INT) AS cost_cs, o_custkey % 7 = 0 AS oneway, 'track' AS cls, CAST(NULL AS STRING) AS name, o_custkey AS way_id
+FROM ({_CHAINS}) c"""
+
+_LAT, _LNG = "CAST(38.0 + ({0} % 40) * 0.01 AS DOUBLE)", "CAST(-0.9 + floor({0} / 40.0) * 0.01 AS DOUBLE)"
+_PART = "((i - CASE WHEN o_orderkey % 13 = 0 THEN 1.5 ELSE 0.0 END) / k)"
+
+CHAIN_NODES = f"""
+SELECT c_custkey - 1 AS node_id, {_LAT.format('(c_custkey - 1)')} AS lat, {_LNG.format('(c_custkey - 1)')} AS lng
+FROM {{customer}} JOIN (SELECT CAST(greatest(5, floor(count(*) / 10.0)) AS BIGINT) AS j FROM {{customer}}) n ON true WHERE c_custkey <= j
+UNION ALL
+SELECT j + o_orderkey, CAST({_LAT.format('a')} + ({_LAT.format('b')} - {_LAT.format('a')}) * {_PART} AS DOUBLE),
+       CAST({_LNG.format('a')} + ({_LNG.format('b')} - {_LNG.format('a')}) * {_PART} AS DOUBLE)
+FROM ({_CHAINS}) c WHERE i < k"""
+
+# the first edge of every third junction may not be followed by its last one
+CHAIN_BANS = f"""
+SELECT node AS via, min(edge_id) AS from_edge, max(edge_id) AS to_edge
+FROM (SELECT edge_id, a AS node FROM ({CHAIN_EDGES}) e UNION ALL SELECT edge_id, b FROM ({CHAIN_EDGES}) e) x
+  JOIN (SELECT CAST(greatest(5, floor(count(*) / 10.0)) AS BIGINT) AS j FROM {{customer}}) n ON true
+WHERE node < j AND node % 3 = 0 GROUP BY node"""
+
+CHAIN_PAIRS = """
+SELECT c_custkey AS od_id, (CAST(floor(c_custkey / 50.0) AS BIGINT) * 31) % j AS origin, (c_custkey * 7 + 3) % j AS goal
+FROM {customer} JOIN (SELECT CAST(greatest(5, floor(count(*) / 10.0)) AS BIGINT) AS j FROM {customer}) n ON true WHERE c_custkey % 50 = 0"""
+
+# one-way chains of 1,200 customers, every other one closed to a ring, with suppliers on spurs, half of them two-way
+CHAIN_LINKS = """
+SELECT c_custkey AS tail, coalesce(lead(c_custkey) OVER (PARTITION BY chain ORDER BY c_custkey), CASE WHEN chain % 2 = 0 THEN min(c_custkey) OVER (PARTITION BY chain) END) AS head
+FROM (SELECT c_custkey, CAST(floor((c_custkey - 1) / 1200.0) AS BIGINT) AS chain FROM {customer}) c
+UNION ALL SELECT -s_suppkey, 1 + (s_suppkey * 7919) % n FROM {supplier} JOIN (SELECT count(*) AS n FROM {customer}) c ON true
+UNION ALL SELECT 1 + (s_suppkey * 7919) % n, -s_suppkey FROM {supplier} JOIN (SELECT count(*) AS n FROM {customer}) c ON true WHERE s_suppkey % 2 = 0"""
+
 WAY_VERTICES = """
 SELECT l_orderkey AS way_id,
        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS BIGINT) AS pos,
@@ -148,6 +189,21 @@ SELECT session_id AS route_id, CAST(row_number() OVER (PARTITION BY session_id O
 FROM {customer} CROSS JOIN (SELECT count(DISTINCT user_id) AS users FROM {events}) u
   JOIN (SELECT DISTINCT user_id AS session_id FROM {events}) s ON session_id = c_custkey % users"""
 
+# drives of six fixes each along a route of their own with one turn; a third of the fixes are off it, the last are near its end
+DRIVES = """
+SELECT CAST(floor(event_id / 6.0) AS BIGINT) AS session_id, ts, event_id, event_id AS fix_id,
+       CAST(38.0 + (CAST(floor(event_id / 6.0) AS BIGINT) % 80) * 0.001 + greatest(event_id % 6 - 3, 0) * 0.0033 + CASE WHEN CAST(floor(value * 100) AS BIGINT) % 3 = 0 THEN 0.001 ELSE 0.0 END AS DOUBLE) AS lat,
+       CAST(-0.9 + (CAST(floor(event_id / 6.0) AS BIGINT) % 70) * 0.001 + least(event_id % 6, 3) * 0.0033 AS DOUBLE) AS lng,
+       CAST(5 AS DOUBLE) AS accuracy, CAST(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 10 END AS DOUBLE) AS speed,
+       CAST(CASE WHEN event_id % 3 = 0 THEN event_id % 360 END AS DOUBLE) AS heading
+FROM {events}"""
+
+DRIVE_POINTS = """
+SELECT session_id, pos, CAST(38.0 + (session_id % 80) * 0.001 + CASE WHEN pos = 2 THEN 0.01 ELSE 0.0 END AS DOUBLE) AS lat,
+       CAST(-0.9 + (session_id % 70) * 0.001 + CASE WHEN pos = 0 THEN 0.0 ELSE 0.01 END AS DOUBLE) AS lng
+FROM (SELECT DISTINCT CAST(floor(event_id / 6.0) AS BIGINT) AS session_id FROM {events}) s
+  JOIN (SELECT DISTINCT CAST(r_regionkey AS BIGINT) AS pos FROM {region} WHERE r_regionkey < 3) p ON true"""
+
 _TABLE = re.compile(r"\{(\w+)\}")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sendero.functions import fixed_values as fx
 from sendero.functions import geo, guidance
-from sendero.operators import components, graph, roads, routes, tracks
+from sendero.operators import chains, components, graph, roads, routes, tracks
 from sendero.plans.session import cut
 
 from . import inputs as inp
@@ -17,7 +17,13 @@ from .inputs import Tables, duck
 QUERIES, ORACLES, query = registry()
 
 NODES, EDGES, VERTICES, FIXES = duck(inp.NODES), duck(inp.EDGES), duck(inp.WAY_VERTICES), duck(inp.FIXES)
-DEDGES = f"(SELECT edge_id * 2 AS state_id, edge_id, a AS tail, b AS head, cost_cs FROM ({EDGES}) UNION ALL SELECT edge_id * 2 + 1, edge_id, b, a, cost_cs FROM ({EDGES}) WHERE NOT oneway)"
+
+
+def both_ways(edges: str) -> str:
+    return f"(SELECT edge_id * 2 AS state_id, edge_id, a AS tail, b AS head, cost_cs FROM ({edges}) UNION ALL SELECT edge_id * 2 + 1, edge_id, b, a, cost_cs FROM ({edges}) WHERE NOT oneway)"
+
+
+DEDGES = both_ways(EDGES)
 
 
 def nodes(t: Tables):
@@ -215,9 +221,13 @@ def q03(t):
     return roads.check_bans(cut(roads.turn_bans(restrictions(t), osm_nodes(t), nodes(t), kept), "bans"), nodes(t), kept)
 
 
-AIMED = f"(SELECT d.*, {sql.bearing('m.lat', 'm.lng', 'n.lat', 'n.lng')} AS brg FROM {DEDGES} d JOIN ({NODES}) m ON m.node_id = tail JOIN ({NODES}) n ON n.node_id = head)"
-TURNS = f"""(SELECT p.state_id AS p, q.state_id AS q, p.head AS via, CAST(q.cost_cs + CASE WHEN abs({sql.wrap('(q.brg - p.brg)')}) >= 150 THEN 9000 ELSE 0 END AS BIGINT) AS cost_cs
-  FROM {AIMED} p JOIN {AIMED} q ON q.tail = p.head WHERE NOT EXISTS (SELECT 1 FROM {BANS} b WHERE b.via = p.head AND b.from_edge = p.edge_id AND b.to_edge = q.edge_id))"""
+def turns_of(dedges: str, sites: str, bans: str) -> str:
+    aimed = f"(SELECT d.*, {sql.bearing('m.lat', 'm.lng', 'n.lat', 'n.lng')} AS brg FROM {dedges} d JOIN ({sites}) m ON m.node_id = tail JOIN ({sites}) n ON n.node_id = head)"
+    return f"""(SELECT p.state_id AS p, q.state_id AS q, p.head AS via, CAST(q.cost_cs + CASE WHEN abs({sql.wrap('(q.brg - p.brg)')}) >= 150 THEN 9000 ELSE 0 END AS BIGINT) AS cost_cs
+  FROM {aimed} p JOIN {aimed} q ON q.tail = p.head WHERE NOT EXISTS (SELECT 1 FROM {bans} b WHERE b.via = p.head AND b.from_edge = p.edge_id AND b.to_edge = q.edge_id))"""
+
+
+TURNS = turns_of(DEDGES, NODES, BANS)
 
 
 def network(t: Tables):
@@ -247,8 +257,11 @@ def g02(t):
     return graph.largest_scc(cut(roads.directed_edges(t(inp.EDGES)), "dedges"))
 
 
-PAIRS = "SELECT CAST(n_nationkey AS BIGINT) AS od_id, (n_nationkey * 7919) % n AS origin, (n_nationkey * 104729 + n_regionkey * 31) % n AS goal FROM {nation} JOIN (SELECT count(*) AS n FROM {part}) c ON true"
-COSTS = f"""WITH RECURSIVE ods AS MATERIALIZED ({duck(PAIRS)}), turns AS MATERIALIZED (SELECT * FROM {TURNS}), dedges AS MATERIALIZED (SELECT * FROM {DEDGES}),
+PAIRS = "SELECT c_custkey AS od_id, 1 + (c_custkey * 7919) % (n - 1) AS origin, 1 + (c_custkey * 104729 + c_nationkey * 31) % (n - 1) AS goal FROM {customer} JOIN (SELECT count(*) AS n FROM {part}) c ON true WHERE c_custkey % 50 = 0"
+
+
+def costs_of(pairs: str, turns: str, dedges: str) -> str:
+    return f"""WITH RECURSIVE ods AS MATERIALIZED ({pairs}), turns AS MATERIALIZED (SELECT * FROM {turns}), dedges AS MATERIALIZED (SELECT * FROM {dedges}),
   best(origin, state, cost) USING KEY (origin, state) AS (
     SELECT DISTINCT origin, state_id, CAST(cost_cs AS BIGINT) FROM ods JOIN dedges ON tail = origin WHERE origin <> goal
     UNION
@@ -257,10 +270,76 @@ COSTS = f"""WITH RECURSIVE ods AS MATERIALIZED ({duck(PAIRS)}), turns AS MATERIA
   costs AS (SELECT od_id, origin, goal, CASE WHEN origin = goal THEN 0 ELSE (SELECT min(b.cost) FROM best b JOIN dedges d ON d.state_id = b.state WHERE d.head = goal AND b.origin = ods.origin) END AS cost_cs FROM ods)"""
 
 
+COSTS = costs_of(duck(PAIRS), TURNS, DEDGES)
+# equally dear paths: the smallest predecessor, from the goal backwards; edges that leave the origin begin a path
+WALK = """ends AS (SELECT od_id, o.origin, goal, arg_min(b.state, (b.cost, b.state)) AS state FROM ods o JOIN dedges d ON d.head = goal JOIN best b ON b.state = d.state_id AND b.origin = o.origin WHERE o.origin <> goal GROUP BY 1, 2, 3),
+  prev AS MATERIALIZED (SELECT b.origin, b.state, min(t.p) AS up FROM best b JOIN dedges d ON d.state_id = b.state AND d.tail <> b.origin JOIN turns t ON t.q = b.state JOIN best a ON a.origin = b.origin AND a.state = t.p WHERE a.cost + t.cost_cs = b.cost GROUP BY 1, 2),
+  walk(od_id, origin, state, back) AS (SELECT od_id, origin, state, 0 FROM ends UNION ALL SELECT w.od_id, w.origin, up, back + 1 FROM walk w JOIN prev p ON p.origin = w.origin AND p.state = w.state),
+  sized AS (SELECT od_id, max(back) AS last FROM walk GROUP BY 1)"""
+
+
 @query("g03_od_costs", f"{COSTS} SELECT * FROM costs")
 def g03(t):
-    _, _, dedges, turns = network(t)
-    return graph.od_costs(t(PAIRS), turns, dedges)
+    sites, _, dedges, turns = network(t)
+    return graph.od_costs(t(PAIRS), turns, dedges, nodes=sites)
+
+
+@query("g03_od_costs_in_blocks", f"{COSTS} SELECT * FROM costs")
+def g03_blocks(t):
+    sites, _, dedges, turns = network(t)
+    return graph.od_costs(t(PAIRS), turns, dedges, block=512, nodes=sites)
+
+
+# --- chains of orders
+
+
+CHAIN_DEDGES = both_ways(duck(inp.CHAIN_EDGES))
+CHAIN_TURNS = turns_of(CHAIN_DEDGES, duck(inp.CHAIN_NODES), f"({duck(inp.CHAIN_BANS)})")
+
+
+def chain_network(t: Tables):
+    """(nodes, directed edges, turns) of the chains of orders."""
+    dedges = cut(roads.directed_edges(t(inp.CHAIN_EDGES)), "dedges")
+    sites = cut(t(inp.CHAIN_NODES), "nodes")
+    return sites, dedges, cut(roads.turn_graph(dedges, sites, t(inp.CHAIN_BANS)), "turns")
+
+
+@query("g06_chain_costs", f"{costs_of(duck(inp.CHAIN_PAIRS), CHAIN_TURNS, CHAIN_DEDGES)} SELECT * FROM costs")
+def g06_costs(t):
+    sites, dedges, turns = chain_network(t)
+    return graph.od_costs(t(inp.CHAIN_PAIRS), turns, dedges, nodes=sites)
+
+
+@query(
+    "g06_contract_chains",
+    f"""WITH e AS (SELECT *, way_id AS road FROM ({duck(inp.CHAIN_EDGES)})), d AS (SELECT edge_id, road, a AS tail, b AS head, cost_cs, 1 AS way FROM e UNION ALL SELECT edge_id, road, b, a, cost_cs, -1 FROM e WHERE NOT oneway),
+    g AS (SELECT d.*, {sql.bearing('m.lat', 'm.lng', 'n.lat', 'n.lng')} AS brg FROM d JOIN ({duck(inp.CHAIN_NODES)}) m ON m.node_id = tail JOIN ({duck(inp.CHAIN_NODES)}) n ON n.node_id = head),
+    w AS (SELECT *, lag(brg) OVER v AS before, row_number() OVER v AS nth FROM g WINDOW v AS (PARTITION BY road, way ORDER BY edge_id * way))
+    SELECT first(tail ORDER BY nth) AS tail, last(head ORDER BY nth) AS head, min(CASE WHEN nth = 1 THEN edge_id END) AS first_edge, count(*) AS edges,
+      CAST(sum(cost_cs + CASE WHEN before IS NOT NULL AND abs({sql.wrap('(brg - before)')}) >= 150 THEN 9000 ELSE 0 END) AS BIGINT) AS cost_cs FROM w GROUP BY road, way""",
+)
+def g06(t):
+    sites, dedges, turns = chain_network(t)
+    made = chains.contract_chains(dedges, turns, graph.ends_of(t(inp.CHAIN_PAIRS)))
+    heads = dedges.select(F.col("state_id").alias("state"), "head")
+    size = made.members.groupBy("first").agg(F.count("*").alias("edges"))
+    rows = made.starts.filter("NOT back").join(heads, "state").join(size, "first")
+    edge = dedges.select(F.col("state_id").alias("first"), F.col("edge_id").alias("first_edge"))
+    return rows.join(edge, "first").select("tail", "head", "first_edge", "edges", "cost_cs")
+
+
+LINKS = f"(SELECT tail, head FROM ({duck(inp.CHAIN_LINKS)}) WHERE head IS NOT NULL)"
+
+
+# customer 1 is on a ring, which is the largest component where no other ring is as large
+@query(
+    "g02_long_chains",
+    f"""WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT tail, head FROM {LINKS}),
+    f(node) AS (SELECT 1 UNION SELECT head FROM f JOIN d ON tail = node), b(node) AS (SELECT 1 UNION SELECT tail FROM b JOIN d ON head = node)
+    SELECT CAST(node AS BIGINT) AS node_id FROM f WHERE node IN (SELECT node FROM b)""",
+)
+def g02_chains(t):
+    return graph.largest_scc(cut(t(inp.CHAIN_LINKS).filter("head IS NOT NULL"), "links"))
 
 
 def requests(t: Tables):
@@ -283,7 +362,13 @@ def g04(t):
     return routed(t).summary.select("od_id", "reason", F.round("search_cost_s", 2).alias("search_cost_s"))
 
 
-@query("g04_route_points")
+@query(
+    "g04_route_points",
+    f"""{COSTS}, {WALK},
+    pts AS (SELECT od_id, last - back AS pos, tail AS node, edge_id FROM walk JOIN sized USING (od_id) JOIN dedges ON state_id = state
+      UNION ALL SELECT od_id, last + 1, goal, NULL FROM ends JOIN sized USING (od_id) UNION ALL SELECT od_id, 0, goal, NULL FROM ods WHERE origin = goal)
+    SELECT od_id, CAST(pos AS BIGINT) AS pos, node, lat, lng, e.name FROM pts JOIN ({NODES}) ON node_id = node LEFT JOIN ({EDGES}) e USING (edge_id)""",
+)
 def g04_points(t):
     return routed(t).points.select("od_id", "pos", "node", "lat", "lng", "name")
 
@@ -361,5 +446,5 @@ def w08(t):
 def q06(t):
     sites, _, dedges, turns = network(t)
     points = t(inp.FIXES).select(F.col("event_id").alias("point_id"), "lat", "lng")
-    gate = routes.network_gate(graph.largest_scc(dedges), sites, graph.od_costs(t(PAIRS), turns, dedges), cut(routes.snap_to_nodes(points, sites), "snaps"))
+    gate = routes.network_gate(graph.largest_scc(dedges), sites, graph.od_costs(t(PAIRS), turns, dedges, nodes=sites), cut(routes.snap_to_nodes(points, sites), "snaps"))
     return gate.withColumn("value", F.round("value", 3))
