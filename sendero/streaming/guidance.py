@@ -195,7 +195,7 @@ def guide(
     Give ``ttl_ms`` to a stream that runs for good. A processing-time state keeps asking for
     batches, so a stream that should end by itself (availableNow) goes without. With ``idle_ms`` sessions
     expire by the time of the fixes instead; the watermark stays ``lateness`` behind the newest fix, and
-    what is older than that is not taken at all.
+    what is older than the watermark was before the last batch is not taken at all.
     """
     if idle_ms:
         fixes = fixes.withWatermark("ts", lateness or "0 seconds")

@@ -150,13 +150,13 @@ def looped(t):
 
 
 LATENESS_DAYS, IDLE_DAYS = 10, 2
-# a fifth of the fixes come in a second delivery: they are too old, late for their session, or in time
+# a fifth of the fixes come in a second delivery; what came before them in their session makes most of them late. The
+# watermark of the first delivery does not yet bar the second, so every late fix is told
 EXPIRED = f"""WITH f AS (SELECT session_id, fix_id, ts, fix_id % 5 = 0 AS second FROM ({duck(inp.DRIVES)})),
-  m AS (SELECT date_trunc('milliseconds', max(CASE WHEN NOT second THEN ts END)) - INTERVAL {LATENESS_DAYS} DAY AS w1, date_trunc('milliseconds', max(ts)) - INTERVAL {LATENESS_DAYS} DAY AS w2 FROM f),
-  s AS (SELECT session_id, max(ts) AS last FROM f, m WHERE NOT second OR ts > w1 GROUP BY 1),
-  one AS (SELECT session_id, max(ts) AS seen FROM f WHERE NOT second GROUP BY 1)
-  SELECT f.session_id, fix_id, 'late' AS kind FROM f JOIN one USING (session_id), m WHERE second AND ts > w1 AND ts <= seen
-  UNION ALL SELECT session_id, NULL, 'expired' FROM s, m WHERE date_trunc('milliseconds', last) + INTERVAL {IDLE_DAYS} DAY <= w2"""
+  m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL {LATENESS_DAYS} DAY AS w FROM f),
+  s AS (SELECT session_id, max(ts) AS last, max(CASE WHEN NOT second THEN ts END) AS seen FROM f GROUP BY 1)
+  SELECT f.session_id, fix_id, 'late' AS kind FROM f JOIN s USING (session_id) WHERE second AND ts <= seen
+  UNION ALL SELECT session_id, NULL, 'expired' FROM s, m WHERE date_trunc('milliseconds', last) + INTERVAL {IDLE_DAYS} DAY <= w"""
 
 
 @query("st07_late_and_expired", EXPIRED)
