@@ -2,11 +2,13 @@
 
 A text's ratio is its compressed size over its size in bytes. Repetitive text compresses to little,
 random text hardly at all; what is normal depends on the length, so each length band has its own
-limits. Long texts are also compressed in chunks of ``CHUNK`` bytes: they go if more than half of
-their chunks leave the chunk limits. Base rules come first: too few words, too many repeated words.
+limits. Long texts are also compressed in chunks of ``CHUNK`` bytes, the last of which ends where the text
+ends: they go if a third of their chunks or more, or ``BAD_RUN`` in a row, leave the chunk limits. A text of no more
+than a chunk is its own only chunk. Base rules come first: too few words, too many repeated words.
 
-Nulls and texts without words have no words and fail the base rules. Bytes of all lengths are
-compressed; short texts have no upper limit, since headers outweigh content there.
+Nulls and texts without words have no words and fail the base rules; empty texts have no chunk. Bytes of all
+lengths are compressed; short texts have no upper limit, since headers outweigh content there. Repeated rows get
+equal verdicts, an empty table gives an empty table, columns other than doc_id and text are dropped.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ REPEAT_WINDOW = 8
 # Lower and upper limit of the ratio by length in bytes: (shortest length, low, high)
 BANDS = ((0, 0.0, 9.9), (64, 0.45, 9.9), (256, 0.40, 0.90), (1024, 0.30, 0.74), (4096, 0.28, 0.74), (32768, 0.25, 0.74))
 CHUNK_BAND = (0.25, 0.74)
+BAD_SHARE = (1, 3)
+BAD_RUN = 4
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -72,8 +76,14 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def chunk_starts(begin: int, end: int) -> list[int]:
+    """Where the chunks of a long text begin: one after another, and a last one that ends with the text."""
+    starts = list(range(begin, end - CHUNK + 1, CHUNK))
+    return starts if (end - begin) % CHUNK == 0 else [*starts, end - CHUNK]
+
+
 def compressed(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: the ratio, whether its band allows it, its chunks, and those outside the chunk limits."""
+    """Per text: the ratio, whether its band and its chunks allow it, its chunks, and those outside the chunk limits."""
     press = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
     ratio, fits = np.ones(len(texts)), np.ones(len(texts), bool)
     chunks, bad = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -85,10 +95,18 @@ def compressed(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         ratio[row] = len(press.compress(data[begin:end])) / (end - begin)
         low, high = band(end - begin)
         fits[row] = low <= ratio[row] <= high
-        for at in range(begin, end - CHUNK + 1, CHUNK):
+        if end - begin <= CHUNK:
+            chunks[row], bad[row] = 1, not fits[row]
+            continue
+        run = longest = 0
+        for at in chunk_starts(begin, end):
             part = len(press.compress(data[at : at + CHUNK])) / CHUNK
+            off = not CHUNK_BAND[0] <= part <= CHUNK_BAND[1]
+            run = run + 1 if off else 0
+            longest = max(longest, run)
             chunks[row] += 1
-            bad[row] += not CHUNK_BAND[0] <= part <= CHUNK_BAND[1]
+            bad[row] += off
+        fits[row] &= longest < BAD_RUN and (bad[row] == 0 or BAD_SHARE[1] * bad[row] < BAD_SHARE[0] * chunks[row])
     return ratio, fits, chunks, bad
 
 
@@ -105,7 +123,7 @@ def _judge(batches):
         lines = np.array([repeated_lines(data[a:b]) for a, b in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)])
         failed = (n_words < MIN_WORDS) | (REPEAT_SHARE[1] * repeats > REPEAT_SHARE[0] * n_words)
         ratio, fits, chunks, bad = compressed(texts)
-        kept = ~failed & fits & (2 * bad <= chunks)
+        kept = ~failed & fits
         columns = [n_words, chars, symbols, lines, repeats, failed, kept, ratio, chunks, bad]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns)], names)

@@ -3,8 +3,8 @@
 A payload is a table of (record, segment, content) rows of at most ``SEGMENT`` characters; the first
 segment is the ``response`` record, more are its ``continuation`` records (WARC record segmentation),
 so no task ever builds a whole record of an oversized payload. The sink's line separator is the blank
-line that ends a record; the source's is that and the next record's version line. A payload that holds a version line is cut
-within it. Files are gzipped; how many there are follows from the partitions of the write.
+lines that end a record; the source's is the version line that begins one, which cannot overlap itself. A payload that
+holds a version line, or ends in one that the blank lines would complete, is cut within it. Files are gzipped; how many there are follows from the partitions of the write.
 
 Reading checks every block's length and carries a running SHA-1 over a record's segments in order.
 Equal payloads are stored once: others are ``revisit`` records that refer to the smallest id.
@@ -28,7 +28,7 @@ from .texts import in_arrow
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 END = CRLF + CRLF
-NEXT = END + VERSION + CRLF
+BEGIN = VERSION + CRLF
 SEGMENT = 1 << 16
 PREFIX = "urn:page:"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -62,13 +62,12 @@ def originals(pages: DataFrame) -> DataFrame:
 
 def segments(html: Column) -> Column:
     """array<string>: the payload in pieces of SEGMENT characters, none of which holds a record's mark."""
-    n = F.greatest(F.ceil(F.char_length(html) / SEGMENT).cast("int"), F.lit(1))
-    plain = F.transform(
-        F.sequence(F.lit(0), n - 1), lambda k: F.substring(html, k * SEGMENT + 1, F.lit(SEGMENT))
-    )
+    # one pass over the text, whatever its length
+    pieces = F.regexp_extract_all(html, F.lit(f"(?s).{{1,{SEGMENT}}}"), F.lit(0))
+    plain = F.when(F.char_length(html) <= SEGMENT, F.array(html)).otherwise(pieces)
     # a version line within a payload is cut in two, so that it is never taken for a record's first line
-    cut = F.flatten(F.transform(plain, lambda x: F.split(x, r"(?<=WA)(?=RC/1\.1\r\n)", -1)))
-    return F.when(F.instr(html, VERSION + CRLF) > 0, cut).otherwise(plain)
+    cut = F.flatten(F.transform(plain, lambda x: F.split(x, r"(?<=WA)(?=RC/1\.1(?:\r\n|\z))", -1)))
+    return F.when(F.instr(html, VERSION) > 0, cut).otherwise(plain)
 
 
 def records(pages: DataFrame, segment=segments) -> DataFrame:
@@ -116,7 +115,7 @@ def _text(table: DataFrame) -> DataFrame:
         ("WARC-Segment-Total-Length", F.when(split & (F.col("segment") + 1 == F.col("n_segments")), F.col("payload_bytes").cast("string"))),
         ("Content-Length", F.octet_length("content").cast("string")),
     )
-    return table.select(F.concat(F.lit(VERSION + CRLF), head, F.lit(CRLF), F.col("content")).alias("value"))
+    return table.select(F.concat(F.lit(BEGIN), head, F.lit(CRLF), F.col("content")).alias("value"))
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -141,19 +140,18 @@ def _sha1(data: bytes) -> str:
 
 def _parse(batches):
     """Records as the source cuts them: fields, and the content of segments only."""
-    first, end = (VERSION + CRLF).encode(), END.encode()
+    end = END.encode()
     for batch in batches:
         out = []
         for value in batch.column("value").cast(pa.binary()):
             data = value.as_py()
-            # a file's first record still has its version line, its last one the closing blank line
-            begin = len(first) if data.startswith(first) else 0
-            middle = data.index(end, begin)
-            head, content = _fields(data[begin:middle]), data[middle + len(end) :]
+            if not data:  # what comes before a file's first record
+                continue
+            middle = data.index(end)
+            head, content = _fields(data[:middle]), data[middle + len(end) :]
             size = int(head[b"Content-Length"])
-            if len(content) == size + len(end) and content.endswith(end):
-                content = content[:size]
-            if len(content) != size:
+            content, closing = content[:size], content[size:]
+            if len(content) != size or closing != end:
                 raise ValueError(f"WARC block of wrong length in {head[b'WARC-Record-ID']}")
             kind, said = head[b"WARC-Type"], head[b"WARC-Payload-Digest"].removeprefix("sha1:")
             number = head.get(b"WARC-Segment-Number")
@@ -230,7 +228,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Raises if a block is not as long as its header says, a payload not what its digest says, or a
     segment is missing. Only segments carry their content through the shuffle that joins them.
     """
-    raw = spark.read.option("lineSep", NEXT).text(path)
+    raw = spark.read.option("lineSep", BEGIN).text(path)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parsed = in_arrow(raw, _parse, PARSED).repartition(ranges, "record").sortWithinPartitions("record", "number")
     return in_arrow(parsed, _join_segments, READ)
