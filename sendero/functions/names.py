@@ -48,6 +48,8 @@ def title_case_es(name: Column | str) -> Column:
 
 def _title_words(words: Column) -> Column:
     minor = fx.MINOR_WORDS
+    # most words are none of these: they need one look-up and a capital
+    special = {*fx.SAINT_ABBREVIATIONS, *fx.ABBREVIATIONS, *fx.PROPER_NOUN_ACCENTS, *(w.upper() for w in minor)}
 
     def capital(part: Column) -> Column:
         accented = F.try_element_at(literal_map(fx.PROPER_NOUN_ACCENTS), F.upper(part))
@@ -65,6 +67,10 @@ def _title_words(words: Column) -> Column:
         )
 
     def cased(word: Column, index: Column) -> Column:
+        plain = ~word.rlike("[-.']") & ~F.upper(word).isin(sorted(special))
+        return F.when(plain, _upper_first(F.lower(word))).otherwise(in_full(word, index))
+
+    def in_full(word: Column, index: Column) -> Column:
         key = F.rtrim(F.upper(word), F.lit("."))
         following = F.coalesce(F.try_element_at(words, index + 2), F.lit(""))
         letters = F.length(F.regexp_replace(following, "\\P{L}", ""))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..plans.session import cut
+from .components import connected_components
+
+ROUNDS_BEFORE_GROUPS = 4
+LARGEST_GROUP = 200_000  # rows that one task goes through
 
 
 def is_edited() -> Column:
@@ -101,16 +106,39 @@ def _now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """rows(id, sig, file_pos) with comp, the same for rows linked by shared ids and signatures."""
+    links = None
+    for key in ("id", "sig"):
+        first = rows.groupBy(key).agg(F.min("file_pos").alias("b"))
+        linked = rows.join(first, key).select(F.col("file_pos").alias("a"), "b")
+        links = linked if links is None else links.unionByName(linked)
+    comps = connected_components(links, rows.select(F.col("file_pos").alias("vertex")).distinct())
+    return rows.join(comps.withColumnRenamed("vertex", "file_pos"), "file_pos")
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one group that are accepted, going through them in file order."""
+    ids, signatures, accepted = set(), set(), []
+    for pos, one, signature in rows.sort_values("file_pos")[["file_pos", "id", "sig"]].itertuples(index=False):
+        if one not in ids and signature not in signatures:
+            ids.add(one)
+            signatures.add(signature)
+            accepted.append(pos)
+    return pd.DataFrame({"file_pos": pd.Series(accepted, dtype="int64")})
+
+
 def import_addresses(
     own: DataFrame, incoming: DataFrame, now: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Merge own addresses in file order -> (own, report).
 
     A row is skipped when its id or its signature is taken by a local row or by an earlier
-    accepted row; a skipped row takes nothing. Each round accepts, all at once, the rows that
+    accepted row; a skipped row takes nothing. A round accepts, all at once, the rows that
     are first of what is left for both their id and their signature, then drops the rows they
-    block. That is the same result as going row by row, without ever bringing the rows of one
-    id or signature together.
+    block. A few rounds settle nearly all rows. What is left hangs together in chains, where each row waits for
+    the one before it: those are split into connected groups, and a task goes through a group row by row.
+    Groups too large for a task go on in rounds. All of that gives the same as going row by row.
 
     incoming(file_pos, id, name, address, notes, lat, lng, created_at, updated_at).
     """
@@ -132,8 +160,16 @@ def import_addresses(
         local.select("sig"), "sig", "left_anti"
     )
     left = cut(keys.select("id", "sig", "file_pos"), "import")
-    rounds = []
+    rounds, small = [], None
     while not left.isEmpty():
+        if len(rounds) == ROUNDS_BEFORE_GROUPS:
+            grouped = cut(_groups(left), "groups")
+            large = grouped.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") > LARGEST_GROUP)
+            fits = grouped.join(large, "comp", "left_anti")
+            small = cut(fits.groupBy("comp").applyInPandas(_in_order, "file_pos bigint"), "import")
+            left = cut(grouped.join(large, "comp", "left_semi").select("id", "sig", "file_pos"), "import")
+            if left.isEmpty():
+                break
         first_id = left.groupBy("id").agg(F.min("file_pos").alias("file_pos"))
         first_sig = left.groupBy("sig").agg(F.min("file_pos").alias("file_pos"))
         taken = cut(
@@ -149,7 +185,7 @@ def import_addresses(
             ),
             "import",
         )
-    accepted = left.select("file_pos")
+    accepted = left.select("file_pos") if small is None else small
     for taken in rounds:
         accepted = accepted.unionByName(taken.select("file_pos"))
     stamp = now if now is not None else _now()

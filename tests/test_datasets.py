@@ -109,3 +109,23 @@ def test_towns(spark):
     assert {r.id for r in ds.delete_towns(installed, gone, keep_edited=True).collect()} == {"1", "3"}
     up = ds.upsert_manifest(manifest.withColumnRenamed("town", "id"), spark.createDataFrame([("c", "Aaa", 9)], "id string, name string, version int"))
     assert [(r.id, r.version) for r in up.collect()] == [("a", 3), ("c", 9), ("b", 1)]
+
+
+def test_a_chain_of_imports_takes_few_rounds(spark, monkeypatch):
+    written = []
+    kept = ds.cut
+    monkeypatch.setattr(ds, "cut", lambda df, label="t": written.append(label) or kept(df, label))
+    # each row shares its id with the row before it or its signature with the row after it
+    chain = spark.range(3000).selectExpr(
+        "id AS file_pos", "concat('k', cast(id / 2 AS bigint)) AS id", "concat('n', cast((id + 1) / 2 AS bigint)) AS name", "'' AS address",
+        "'' AS notes", "38.0D AS lat", "-0.9D AS lng", "'c' AS created_at", "'u' AS updated_at",
+    )
+    own = chain.limit(0).drop("file_pos")
+    merged, _ = ds.import_addresses(own, chain)
+    rows = sorted(chain.collect(), key=lambda r: r.file_pos)
+    ids, names, want = set(), set(), set()
+    for r in rows:
+        if r.id not in ids and r.name not in names:
+            ids.add(r.id), names.add(r.name), want.add((r.id, r.name))
+    assert {(r.id, r.name) for r in merged.collect()} == want and 1000 < len(want) < 3000
+    assert len(written) < 20
