@@ -224,21 +224,26 @@ def _change(s: Column, key: str, undo: bool) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text", undo: bool = False) -> DataFrame:
-    """docs with the values in ``column`` replaced, plus n_<kind> bigint for each kind."""
+    """docs with the values in ``column`` replaced, plus n_<kind> bigint for each kind.
+
+    Columns of docs that are named like those counts give way; all others are carried, whatever their names.
+    """
     if not key:
         raise ValueError("a key is needed")
     text = F.col(column)
     changed = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda s: _change(s, key, undo))
     both = F.struct(changed.alias("new"), F.split(text, ANY, -1).alias("between"))
-    rows = docs.withColumn("pseudonyms", F.when(text.rlike(ANY), both))
+    others = [c for c in docs.columns if c not in [f"n_{kind}" for kind in KINDS]]
+    numbered = [F.col(c).alias(f"_{k}") for k, c in enumerate(others)]
+    rows = docs.select(*numbered, F.when(text.rlike(ANY), both).alias("found"))
+    text = F.col(f"_{others.index(column)}")
 
     def join(new: Column, between: Column) -> Column:
         # zip_with pads the shorter side: the last piece has no match after it
         return F.array_join(F.zip_with(between, new, lambda p, n: F.concat(p, F.coalesce(n["text"], F.lit("")))), "")
 
-    out = F.when(F.col("pseudonyms").isNull(), text).otherwise(join(F.col("pseudonyms.new"), F.col("pseudonyms.between")))
-    counts = {
-        f"n_{kind}": F.coalesce(F.size(F.filter("pseudonyms.new", _of(kind))), F.lit(0)).cast("bigint")
-        for kind in KINDS
-    }
-    return rows.withColumns({**counts, column: out}).drop("pseudonyms")
+    out = F.when(F.col("found").isNull(), text).otherwise(join(F.col("found.new"), F.col("found.between")))
+    counts = [
+        F.coalesce(F.size(F.filter("found.new", _of(kind))), F.lit(0)).cast("bigint").alias(f"n_{kind}") for kind in KINDS
+    ]
+    return rows.select(*[(out if c == column else F.col(f"_{k}")).alias(c) for k, c in enumerate(others)], *counts)

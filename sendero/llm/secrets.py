@@ -88,7 +88,10 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
 
 
 def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs' rows without ``text``, plus spans array<struct<begin,order,kind,end>> of the given rules."""
+    """docs' rows without ``text``, plus secret_spans array<struct<begin,order,kind,end>> of the given rules.
+
+    A column of docs that is named secret_spans gives way.
+    """
     order = {r.kind: k for k, r in enumerate(rules)}
     current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     rows = read_ledger(docs.sparkSession, ledger).filter(F.array_contains(current, F.struct("kind", "version")))
@@ -104,9 +107,10 @@ def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
         ).alias("spans"),
     )
     by_blob = rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("secret_spans"))
-    others = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(*others, blob().alias("secret_blob"))
-    return keyed.join(by_blob, keyed["secret_blob"] == by_blob["blob"], "left").select(
-        *others,
+    # other columns go by number, so that no name of theirs can clash
+    others = [c for c in docs.columns if c not in ("text", "secret_spans")]
+    keyed = docs.select(blob().alias("blob"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(others)])
+    return keyed.join(by_blob, "blob", "left").select(
+        *[F.col(f"_{k}").alias(c) for k, c in enumerate(others)],
         F.coalesce("secret_spans", F.array().cast(by_blob.schema["secret_spans"].dataType)).alias("secret_spans"),
     )

@@ -136,14 +136,14 @@ def _sweep(batches):
 
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", column: str = "url") -> DataFrame:
-    """urls' columns but ``column``, then host, path, rule (as host + path, or null) and verdict.
+    """urls' columns but ``column``, then host, path, rule (as host + path, or null) and verdict. Columns of urls of these names give way.
 
     ``rules(host, path, verdict)``: a rule fits its host and all subdomains where the path starts with
     its path. The longest host and path together win, then the longer host.
     """
     spark = urls.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    others = [c for c in urls.columns if c != column]
+    others = [c for c in urls.columns if c not in (column, "host", "path", "rule", "verdict")]
     host = host_of(F.col(column))
     left = urls.select(
         F.struct(*others).alias("row"), host.alias("host"), path_of(F.col(column)).alias("path"),

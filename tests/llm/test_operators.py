@@ -20,6 +20,7 @@ from sendero.llm import (
     piece_sampling,
     pseudonyms,
     secrets,
+    spans,
     toxicity,
     url_rules,
     warc,
@@ -565,3 +566,39 @@ def test_segmentations_come_with_their_weight(vocabulary):
     ids, counts = piece_sampling.sample(texts_of(pa.array([" there"] * n)), keys, vocabulary, 1)
     got = Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(counts)[:-1]))
     assert sum(abs(got[s] / n - p / total) for s, p in want.items()) < 0.02
+
+
+# --- names that clash, and many matches
+
+
+def test_columns_named_like_results(spark):
+    row = (1, "token = abcdefgh1234 mail a@x.org", "b", "s", 5, "p")
+    docs = spark.createDataFrame([row, (None, None, None, None, None, None)], "doc_id bigint, text string, blob string, secret_spans string, n_email int, pseudonyms string")
+    ledger = scratch(spark, "ledger")
+    secrets.scan(docs, ledger)
+    found = secrets.findings(docs, ledger)
+    assert found.columns == ["doc_id", "blob", "n_email", "pseudonyms", "secret_spans"]
+    kept = {r["doc_id"]: r for r in found.collect()}
+    assert kept[1]["blob"] == "b" and len(kept[1]["secret_spans"]) == 1 and kept[None]["secret_spans"] == []
+    hidden = pseudonyms.pseudonymise(docs, "k")
+    assert hidden.columns[:5] == ["doc_id", "text", "blob", "secret_spans", "pseudonyms"]
+    rows = {r["doc_id"]: r for r in hidden.collect()}
+    assert rows[1]["pseudonyms"] == "p" and rows[1]["n_email"] == 1 and "a@x.org" not in rows[1]["text"]
+    assert rows[None]["text"] is None and rows[None]["n_email"] == 0
+    assert secrets.findings(docs.limit(0), ledger).collect() == [] and pseudonyms.pseudonymise(docs.limit(0), "k").collect() == []
+
+
+def test_urls_with_columns_named_like_results(spark):
+    urls = spark.createDataFrame([(1, "http://a.net/x", "h", 7)], "page_id bigint, url string, host string, rule int")
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    got = url_rules.judge(urls, rules)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert [tuple(r) for r in got.collect()] == [(1, "a.net", "/x", "net/", "block")]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "".join(f"é{'x' * (k % 7)}, {k} " for k in range(20000))
+    want = [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", text)]
+    docs = spark.createDataFrame([(text,), ("",), ("12",)], "text string")
+    got = [[tuple(m) for m in r["m"]] for r in docs.select(spans.matches(docs["text"], "[0-9]+").alias("m")).collect()]
+    assert got == [want, [], [(0, 2, "12")]]
