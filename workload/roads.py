@@ -221,6 +221,20 @@ def q03(t):
     return roads.check_bans(cut(roads.turn_bans(restrictions(t), osm_nodes(t), nodes(t), kept), "bans"), nodes(t), kept)
 
 
+# every ban again, once at a node that is not there and once from an edge that is not there
+@query(
+    "q03_broken_bans",
+    f"""WITH n AS (SELECT count(*) AS n FROM (SELECT DISTINCT via, from_edge, to_edge FROM {BANS}))
+    SELECT 'unknown_via' AS "check", n AS violations FROM n UNION ALL SELECT 'from_not_at_via', 2 * n FROM n UNION ALL SELECT 'to_not_at_via', n FROM n UNION ALL SELECT 'duplicates', n FROM n""",
+)
+def q03_broken(t):
+    kept = edges(t)
+    bans = cut(roads.turn_bans(restrictions(t), osm_nodes(t), nodes(t), kept).select("via", "from_edge", "to_edge").distinct(), "bans")
+    lost = bans.withColumn("via", F.col("via") + 1_000_000_000)
+    loose = bans.withColumn("from_edge", F.col("from_edge") + 1_000_000_000)
+    return roads.check_bans(bans.unionByName(bans).unionByName(lost).unionByName(loose), nodes(t), kept)
+
+
 def turns_of(dedges: str, sites: str, bans: str) -> str:
     aimed = f"(SELECT d.*, {sql.bearing('m.lat', 'm.lng', 'n.lat', 'n.lng')} AS brg FROM {dedges} d JOIN ({sites}) m ON m.node_id = tail JOIN ({sites}) n ON n.node_id = head)"
     return f"""(SELECT p.state_id AS p, q.state_id AS q, p.head AS via, CAST(q.cost_cs + CASE WHEN abs({sql.wrap('(q.brg - p.brg)')}) >= 150 THEN 9000 ELSE 0 END AS BIGINT) AS cost_cs
