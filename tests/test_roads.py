@@ -169,6 +169,20 @@ def test_largest_scc(spark, seed):
     assert got == set(brute_scc(pairs))
 
 
+@pytest.mark.parametrize("links", [200_000, 0, 9])
+def test_rings_do_not_take_a_round_each(spark, monkeypatch, links):
+    rounds = []
+    kept = graph._pivots
+    monkeypatch.setattr(graph, "_pivots", lambda *a: rounds.append(1) or kept(*a))
+    monkeypatch.setattr(graph, "LINKS_IN_BLOCK", links)
+    pairs = [(10 * k + i, 10 * k + (i + 1) % (k + 3)) for k in range(6) for i in range(k + 3)]
+    pairs += [(10 * k + i, 10 * k + (i + 2) % (k + 3)) for k in range(6) for i in range(k + 3)]  # no chains
+    pairs += [(-k, 10 * (k % 6)) for k in range(1, 9)] + [(10 * (k % 6), -k) for k in range(1, 9, 2)]
+    got = {r.node_id for r in graph.largest_scc(spark.createDataFrame(pairs, "tail bigint, head bigint"), block=4).collect()}
+    assert got == set(brute_scc(pairs))
+    assert len(rounds) <= 2
+
+
 def test_snap_equals_brute_force(spark):
     rng = random.Random(4)
     nodes = [(i, 38 + rng.random() * 0.03, -0.9 + rng.random() * 0.03) for i in range(60)]
