@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sendero.functions import geo
 from sendero.operators import graph, roads, routes
+from sendero.plans.session import cut
 
 WAYS = "id bigint, tags map<string,string>, geometry array<struct<lat:double,lon:double>>"
 
@@ -252,3 +253,15 @@ def test_segments_in_blocks(spark, monkeypatch):
     assert abs(m.agg(F.max("cum_m")).first()[0] - 9 * 111.1949) < 0.01
     small = routes.running_sum(v.withColumn("one", F.lit(1.0)), ["w"], "pos", "one", "s", block=3)
     assert [r.s for r in small.orderBy("pos").collect()] == [float(i) for i in range(1, 11)]
+
+
+def test_block_searches_are_not_put_together_by_their_small_size(spark):
+    rows = spark.range(64).selectExpr("id AS block", "CAST(0 AS BIGINT) AS grp", "id")
+
+    def kernel(key, labels, arcs):
+        return labels[["block"]]
+
+    out = graph._by_block(rows, rows, kernel, "block bigint").withColumn("task", F.spark_partition_id())
+    found = cut(out).collect()
+    assert sorted(r["block"] for r in found) == list(range(64))
+    assert len({r["task"] for r in found}) > spark.sparkContext.defaultParallelism
