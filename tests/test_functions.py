@@ -1,6 +1,9 @@
 """Scalar functions against worked examples."""
 
 import math
+import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +175,18 @@ def test_subtitle(spark):
         "address string, ref string, num string, want string",
     )
     assert df.filter(text.place_subtitle("address", "ref", "num", F.lit("T")) != F.col("want")).count() == 0
+
+
+def test_folding_compares_plain_characters_with_no_marks(spark):
+    rng = random.Random(5)
+    alphabet = "ab Z'-9éÑçǆẤ゙̀́ͅ’ßЙ가\U0001d165"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(200)] + ["", "plain 'text'", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", text.slugify("t").alias("s")).collect()
+    source, target = text._folding(True)
+    folds = dict(zip(source, target))
+    for row in rows:
+        if row["t"] is not None:
+            plain = "".join(folds.get(c, c) for c in row["t"].replace("'", " "))
+            plain = "".join(c for c in plain if not unicodedata.combining(c)).lower()
+            assert row["s"] == re.sub("[^a-z0-9]+", "-", plain).strip("-")
+    assert "'" not in target and text._mark_class(True).startswith("(?!")
