@@ -336,6 +336,39 @@ def test_line_dedup_against_brute_force(spark):
     assert [WORD.findall(rows[k]) for k in range(len(texts))] == want
 
 
+def test_line_dedup_compares_contents_where_all_hashes_are_equal(spark, monkeypatch):
+    rng = random.Random(36)
+    pool = [" ".join(f"q{rng.randrange(60)}" for _ in range(rng.choice((2, 5, 10, 14, 60)))) for _ in range(15)]
+    texts = ["".join(rng.choice(pool) + rng.choice((". ", "\n")) for _ in range(rng.randrange(1, 8))) for _ in range(20)]
+    texts = list(dict.fromkeys(texts))
+    for name in ("hash", "xxhash64"):
+        constant = getattr(line_dedup.F, name)(line_dedup.F.lit(0))
+        monkeypatch.setattr(line_dedup.F, name, lambda *_, constant=constant: constant)
+    rows = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert [WORD.findall(rows[k]) for k in range(len(texts))] == brute_lines_lost(texts)
+
+
+def test_line_dedup_chooses_places_by_content(spark):
+    rng = random.Random(46)
+    words = lambda n: " ".join(f"w{rng.randrange(10**8)}" for _ in range(n))
+    passage = words(40)
+    texts = [f"{words(60 + k)} {passage} {words(30)}" for k in range(4)]
+    places = line_dedup.once(line_dedup.chunks(line_dedup.F.col("text")), line_dedup._places)
+    rows = table(spark, texts).select("doc_id", places.alias("p")).collect()
+    shared = [{p["at"] - 60 - r["doc_id"] for p in r["p"] if 60 + r["doc_id"] <= p["at"] <= 95 + r["doc_id"]} for r in rows]
+    assert all({i for i in range(k, k + 6)} & shared[0] for k in range(31))
+    inner = [{i for i in s if 5 <= i <= 30} for s in shared]
+    assert inner[0] == inner[1] == inner[2] == inner[3] and all(len(r["p"]) < 0.5 * (121 + r["doc_id"]) for r in rows)
+    found = {r["id"]: len(r["found"]) for r in line_dedup.repeated_places(table(spark, texts)).collect()}
+    assert set(found) == {0, 1, 2, 3} and all(9 <= n <= 36 for n in found.values())
+
+
+def test_lines_of_long_texts_without_sentences(spark):
+    texts = ["." * 1_000_000, "\n" * 300_000, "a.b" * 300_000, "a\n" * 100_000]
+    rows = table(spark, texts).select("doc_id", line_dedup.F.size(line_dedup.chunks(line_dedup.F.col("text"))).alias("n")).collect()
+    assert [r["n"] for r in sorted(rows)] == [1, 1, 1, 100_000]
+
+
 def test_line_dedup_sees_through_blank_lines(spark):
     lines = ["Menu one", "Menu two", "Menu three", "a long line of more than ten words that stands alone here"]
     texts = ["\n".join(lines), "\n\n".join(lines), "\n \n\t\n".join(lines), "\n\nown\n\n" + lines[3]]
