@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -130,23 +130,21 @@ class GuidanceProcessor(StatefulProcessor):
         self.handle = handle
         self.session = handle.getValueState("session", STATE, self.ttl_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.session.exists():
-            return
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         last = self.session.get()
+        if last is None:
+            return
         self.session.clear()
-        row = (key[0], None, pd.Timestamp(last[5], unit="us"), "expired", last[4], *[None] * len(GUIDE))
-        yield _frame([row])
+        yield _row(key[0], None, datetime.fromtimestamp(last[5] // 1_000_000) + timedelta(microseconds=last[5] % 1_000_000), "expired", last[4])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.session.get() if self.session.exists() else (0, False, None, None, None, None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.session.get() or (0, False, None, None, None, None)
         off, arrived, last_lat, last_lng, heading, last_us = state
-        fixes = pd.concat(list(rows)).sort_values(["us", "fix_id"])
-        out = []
-        for fix in fixes.itertuples(index=False):
+        timer = last_us
+        for fix in sorted(rows, key=lambda r: (r.us, r.fix_id)):
             if last_us is not None and fix.us <= last_us:
                 if self.idle_ms:
-                    out.append((key[0], fix.fix_id, fix.ts, "late", heading, *[None] * len(GUIDE)))
+                    yield _row(key[0], fix.fix_id, fix.ts, "late", heading)
                 continue
             last_us = fix.us
             if arrived:
@@ -166,22 +164,22 @@ class GuidanceProcessor(StatefulProcessor):
                 kind = "guidance"
                 if off >= fx.OFF_ROUTE_FIXES:
                     off, kind = 0, "reroute"
-            guide = [getattr(fix, c) if kind == "guidance" else None for c in GUIDE]
-            out.append((key[0], fix.fix_id, fix.ts, kind, heading, *guide))
+            yield _row(key[0], fix.fix_id, fix.ts, kind, heading, fix if kind == "guidance" else None)
+        if last_us == timer:
+            return
         self.session.update((off, arrived, last_lat, last_lng, heading, last_us))
         if self.idle_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(last_us) // 1000 + self.idle_ms)
-        yield _frame(out)
+            if timer is not None:
+                self.handle.deleteTimer(timer // 1000 + self.idle_ms)
+            self.handle.registerTimer(last_us // 1000 + self.idle_ms)
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    columns = ["session_id", "fix_id", "ts", "kind", "heading", *GUIDE]
-    return pd.DataFrame(rows, columns=columns).astype({"fix_id": "Int64", "heading": "float64", "point_index": "Int64"})
+def _row(session_id: int, fix_id: int | None, ts: datetime, kind: str, heading: float | None, fix: Row | None = None) -> Row:
+    told = {c: fix[c] if fix else None for c in GUIDE}
+    return Row(session_id=session_id, fix_id=fix_id, ts=ts, kind=kind, heading=heading, **told)
 
 
 def guide(
@@ -202,7 +200,7 @@ def guide(
     return (
         matched_fixes(fixes, routes)
         .groupBy("session_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=GuidanceProcessor(ttl_ms, idle_ms),
             outputStructType=OUTPUT,
             outputMode="Append" if idle_ms else "Update",

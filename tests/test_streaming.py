@@ -62,3 +62,44 @@ def test_arrival_heading_and_bad_fixes(spark, tmp_path):
     assert [(r.fix_id, r.kind) for r in got] == [(0, "guidance"), (1, "guidance"), (2, "guidance"), (4, "arrived")]
     assert got[0].heading == 90.0 and got[1].heading == 90.0 and abs(got[2].heading - 90.0) < 0.01
     assert got[3].dist_m is None and abs(got[2].remaining_m - 2 * 876.2) < 2
+
+
+def test_a_session_asks_its_state_few_times_and_lists_no_timers():
+    from datetime import datetime
+
+    from pyspark.sql import Row
+
+    from sendero.streaming.guidance import GUIDE, GuidanceProcessor
+
+    asked = []
+
+    class Known:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            asked.append("get")
+            return self.value
+
+        def update(self, value):
+            asked.append("update")
+            self.value = value
+
+        def registerTimer(self, ms):
+            asked.append(("register", ms))
+
+        def deleteTimer(self, ms):
+            asked.append(("delete", ms))
+
+    processor = GuidanceProcessor(idle_ms=1000)
+    processor.init(Known())
+
+    def fix(us, fix_id):
+        told = dict.fromkeys(GUIDE) | {"dist_m": 1.0}
+        return Row(fix_id=fix_id, ts=datetime(2024, 1, 1), us=us, speed=None, course=90.0, lat=38.0, lng=-0.9, dest_m=500.0, **told)
+
+    out = [r.kind for us in (5_000_000, 7_000_000, 6_000_000) for r in processor.handleInputRows((1,), iter([fix(us, us)]), None)]
+    assert out == ["guidance", "guidance", "late"]
+    assert asked == ["get", "update", ("register", 6000), "get", "update", ("delete", 6000), ("register", 8000), "get"]
