@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed_values as fx
 from ..functions import geo, guidance
-from ..operators.routes import measured_points, nearest_in_array
+from ..operators.routes import measured_points, segments_of_line, with_nearest
 
 STATE = T.StructType(
     [
@@ -56,10 +56,7 @@ def matched_fixes(fixes: DataFrame, routes: DataFrame) -> DataFrame:
     """Valid fixes with everything of a guidance record that needs no state."""
     valid = fixes.filter(geo.valid_coords("lat", "lng"))
     joined = valid.join(routes, "session_id")
-    near = nearest_in_array(F.col("lat"), F.col("lng"), F.col("line"))
-    joined = joined.withColumn("near", near).withColumns(
-        {"dist_m": F.col("near.dist_m"), "point_index": F.col("near.point_index")}
-    )
+    joined = with_nearest(joined, segments_of_line(F.col("line")))
     total = F.element_at("line", -1)["cum_m"]
     done = F.element_at("line", F.col("point_index").cast("int") + 1)["cum_m"]
     joined = joined.withColumns(
