@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +31,9 @@ GUIDED = (
     "session_id bigint, fix_id bigint, ts timestamp, kind string, version bigint, heading double, dist_m double, point_index bigint, "
     "remaining_m double, step_dist_m double, step_type string, step_name string, eta_s double, label string"
 )
+def _at() -> Column:
+    """Order of the fixes of a batch: those of equal times are taken by id."""
+    return F.struct("us", "fix_id")
 
 
 class Plans:
@@ -62,34 +65,34 @@ class Plans:
 
 
 def carried(rows: DataFrame, value: str, name: str, block_s: int = HOUR_S) -> DataFrame:
-    """Adds the last value that is not null up to and including each row of rows(session_id, us, ...).
+    """Adds the last value that is not null up to and including each row of rows(session_id, us, fix_id, ...).
 
     Hours are windows of their own, and what they end with is carried over, so a long session is many tasks.
     """
     hour = F.floor(F.col("us") / (block_s * 1_000_000))
     rows = rows.withColumn("_hour", hour)
-    ends = rows.groupBy("session_id", "_hour").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("us"))).alias("_end"))
+    ends = rows.groupBy("session_id", "_hour").agg(F.max_by(value, F.when(F.col(value).isNotNull(), _at())).alias("_end"))
     before = W.partitionBy("session_id").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
     ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")
-    inner = W.partitionBy("session_id", "_hour").orderBy("us").rowsBetween(W.unboundedPreceding, 0)
+    inner = W.partitionBy("session_id", "_hour").orderBy("us", "fix_id").rowsBetween(W.unboundedPreceding, 0)
     filled = rows.join(ends, ["session_id", "_hour"])
     return filled.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(inner), F.col("_before"))).drop("_hour", "_before")
 
 
 def with_heading(fixes: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Adds verified, the verified heading at each fix, to fixes(session_id, us, lat, lng, speed, course)."""
+    """Adds verified, the verified heading at each fix, to fixes(session_id, us, fix_id, lat, lng, speed, course)."""
     known = sessions.filter("last_us IS NOT NULL").select(
         "session_id", F.col("last_us").alias("us"), F.col("last_lat").alias("lat"), F.col("last_lng").alias("lng"),
         F.col("heading").alias("h"), F.lit(True).alias("old"),
     )
     rows = fixes.withColumn("old", F.lit(False)).unionByName(known, allowMissingColumns=True)
     # the place of the fix before, over the edges of hours too
-    rows = rows.withColumn("here", F.struct("us", "lat", "lng"))
+    rows = rows.withColumn("here", F.struct("us", "fix_id", "lat", "lng"))
     hour = F.floor(F.col("us") / (HOUR_S * 1_000_000))
     ends = rows.groupBy("session_id", hour.alias("_hour")).agg(F.max("here").alias("_end"))
     ends = ends.withColumn("_before", F.lag("_end").over(W.partitionBy("session_id").orderBy("_hour"))).drop("_end")
     rows = rows.withColumn("_hour", hour).join(ends, ["session_id", "_hour"])
-    last = F.coalesce(F.lag("here").over(W.partitionBy("session_id", "_hour").orderBy("us")), F.col("_before"))
+    last = F.coalesce(F.lag("here").over(W.partitionBy("session_id", "_hour").orderBy("us", "fix_id")), F.col("_before"))
     rows = rows.withColumn("last", last).drop("_hour", "_before")
     moving = F.col("speed").isNull() | F.isnan("speed") | (F.col("speed") >= fx.HEADING_MIN_SPEED_MS)
     course = F.when(~F.isnan("course"), F.col("course"))
@@ -188,8 +191,8 @@ class Rerouting:
         valid = fixes.filter(geo.valid_coords("lat", "lng")).withColumn("us", F.unix_micros("ts"))
         new = valid.join(sessions.select("session_id", "arrived", "last_us"), "session_id")
         new = new.filter("NOT arrived AND (last_us IS NULL OR us > last_us)")
-        first = new.groupBy("session_id", "us").agg(F.min_by(F.struct("fix_id", "ts", "lat", "lng", "speed", "heading"), "fix_id").alias("f"))
-        first = first.select("session_id", "us", "f.fix_id", "f.ts", "f.lat", "f.lng", "f.speed", F.col("f.heading").alias("course"))
+        first = new.groupBy("session_id", "us", "fix_id").agg(F.min(F.struct("ts", "lat", "lng", "speed", "heading")).alias("f"))
+        first = first.select("session_id", "us", "fix_id", "f.ts", "f.lat", "f.lng", "f.speed", F.col("f.heading").alias("course"))
         rest = cut(with_heading(first, sessions), "fixes")
         written, active = [], sessions.select("session_id", "version", "off", "last_us")
         while not rest.isEmpty():
@@ -200,13 +203,13 @@ class Rerouting:
                 F.lit(-1).cast("bigint").alias("fix_id"), F.lit(2.0 * fx.OFF_ROUTE_M).alias("dist_m"),
             )
             streaks = off_route_streaks(seen.unionByName(open_streak.join(seen.select("session_id").distinct(), "session_id")))
-            asks = streaks.filter("reroute").groupBy("session_id").agg(F.min("us").alias("asked_us"))
-            ends = met.filter(F.col("dest_m") <= fx.ARRIVE_M).groupBy("session_id").agg(F.min("us").alias("arrived_us"))
-            stops = asks.join(ends, "session_id", "full").withColumn("stop", F.least("asked_us", "arrived_us"))
-            arrived = F.col("arrived_us").isNotNull() & (F.col("arrived_us") == F.col("stop"))
+            asks = streaks.filter("reroute").groupBy("session_id").agg(F.min(_at()).alias("asked_at"))
+            ends = met.filter(F.col("dest_m") <= fx.ARRIVE_M).groupBy("session_id").agg(F.min(_at()).alias("arrived_at"))
+            stops = asks.join(ends, "session_id", "full").withColumn("stop", F.least("asked_at", "arrived_at"))
+            arrived = F.col("arrived_at").isNotNull() & (F.col("arrived_at") == F.col("stop"))
             stops = cut(stops.select("session_id", "stop", arrived.alias("arrived")), "stops")
-            done = met.join(stops, "session_id", "left").filter("stop IS NULL OR us <= stop")
-            kind = F.when(F.col("us") == F.col("stop"), F.when(F.col("arrived"), "arrived").otherwise("reroute")).otherwise("guidance")
+            done = met.join(stops, "session_id", "left").filter(F.col("stop").isNull() | (_at() <= F.col("stop")))
+            kind = F.when(_at() == F.col("stop"), F.when(F.col("arrived"), "arrived").otherwise("reroute")).otherwise("guidance")
             done = cut(done.withColumn("kind", F.coalesce(kind, F.lit("guidance"))), "done")
             requests = done.filter("kind = 'reroute'")
             asked = requests.select("session_id", (F.col("version") + 1).alias("version"), "lat", "lng", "fix_id", "ts", "us", "verified", "kind")
@@ -227,7 +230,7 @@ class Rerouting:
                 F.when(F.col("newer").isNotNull(), 0).otherwise(F.col("off")).alias("off"), "last_us",
             )
             active = cut(active, "active")
-            rest = cut(rest.join(stops.filter("NOT arrived"), "session_id").filter("us > stop").drop("stop", "arrived"), "rest")
+            rest = cut(rest.join(stops.filter("NOT arrived"), "session_id").filter(_at() > F.col("stop")).drop("stop", "arrived"), "rest")
         self._write(batch, sessions, active, written, plans)
 
     def _write(self, batch: int, sessions: DataFrame, active: DataFrame, written: list[DataFrame], plans: Plans) -> None:
@@ -243,9 +246,9 @@ class Rerouting:
         # off counts from the end: consecutive fixes off the route at the end of a session, after its last request
         off = (F.col("kind") == "guidance") & (F.coalesce("dist_m", F.lit(0.0)) > fx.OFF_ROUTE_M)
         last = told.groupBy("session_id").agg(
-            F.max_by(F.struct("lat", "lng", "verified", "us"), "us").alias("l"),
+            F.max_by(F.struct("lat", "lng", "verified", "us"), _at()).alias("l"),
             F.max(F.col("kind") == "arrived").alias("now_arrived"),
-            F.max_by(F.when(off, 1).otherwise(0), "us").alias("now_off"),
+            F.max_by(F.when(off, 1).otherwise(0), _at()).alias("now_off"),
         )
         joined = sessions.drop("version", "off").join(active.select("session_id", "version", F.col("off").alias("was_off")), "session_id")
         after = joined.join(last, "session_id", "left").select(

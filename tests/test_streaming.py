@@ -1,9 +1,13 @@
 import datetime
+import os
 
+import duckdb
 from pyspark.sql import functions as F
 
 from sendero.operators import tracks
 from sendero.streaming.guidance import OUTPUT, guide, route_table
+from tests import oracle
+from workload import streams
 from workload.streams import run_stream
 
 START = datetime.datetime(2026, 1, 1)
@@ -103,3 +107,18 @@ def test_a_session_asks_its_state_few_times_and_lists_no_timers():
     out = [r.kind for us in (5_000_000, 7_000_000, 6_000_000) for r in processor.handleInputRows((1,), iter([fix(us, us)]), None)]
     assert out == ["guidance", "guidance", "late"]
     assert asked == ["get", "update", ("register", 6000), "get", "update", ("delete", 6000), ("register", 8000), "get"]
+
+
+def test_loop_takes_fixes_of_equal_time_in_order_of_id(spark, tmp_path):
+    given = "/root/testdata/sf0.001"
+    hour = "date_trunc('hour', ts)"
+    for name, ts in (("equal", hour), ("apart", f"{hour} + to_microseconds(event_id)")):
+        folder = tmp_path / name
+        folder.mkdir()
+        for table in os.listdir(given):
+            if table != "events.parquet":
+                os.symlink(f"{given}/{table}", folder / table)
+        duckdb.execute(f"COPY (SELECT * REPLACE ({ts} AS ts) FROM '{given}/events.parquet' WHERE event_id < 120) TO '{folder}/events.parquet'")
+    key = "st03_reroute_loop"
+    got = oracle.spark_rows(streams.QUERIES[key](spark, str(tmp_path / "equal")))
+    assert got == oracle.duck_rows(oracle.connect(str(tmp_path / "apart")), streams.ORACLES[key])
