@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sendero.operators import addresses as ad
 from sendero.sources import backup, gml, graph, osm, towns
+from workload.sources import lines_as_tiles
 
 GML = """<?xml version="1.0" encoding="UTF-8"?>
 <gml:FeatureCollection xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:AD="urn:a" xmlns:GN="urn:n" xmlns:base="urn:b" xmlns:xlink="http://www.w3.org/1999/xlink">
@@ -99,3 +100,12 @@ def test_graph_tables(spark, tmp_path):
     *_, meta = graph.read_graph(spark, str(tmp_path / "g"))
     row = meta.first()
     assert (row.nodes, row.edges, row.directed_edges, row.bans, row.license) == (2, 1, 2, 1, "ODbL 1.0") and row.speed_kmh["track"] == 20
+
+
+def test_tiles_are_files_of_two_folders(spark):
+    elements = spark.range(2500).select("id", F.lit(38.0).alias("lat"), F.lit(-0.9).alias("lon"))
+    path = lines_as_tiles(elements, "node")
+    tiles = spark.read.text(path).select(F.input_file_name().alias("f")).distinct()
+    folders = tiles.select(F.regexp_replace("f", "/[^/]*$", "")).distinct()
+    assert (tiles.count(), folders.count()) == (6, 2)  # a file for each thousand ids, none with a folder of its own
+    assert osm.read_osm_nodes(spark, path).count() == 2500

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sendero.operators import addresses as ad
 from sendero.operators import roads
-from sendero.plans.session import scratch
+from sendero.plans.session import cut, scratch
 from sendero.sources import backup, gml, graph, osm, towns
 
 from . import inputs as inp
@@ -97,14 +97,14 @@ def s05(t):
 def lines_as_tiles(elements: DataFrame, kind: str) -> str:
     """Tiles of up to a thousand ids as {"elements": [...]}; tile b repeats tile a with the real tags."""
     folder = scratch(elements.sparkSession, "osm")
-    typed = elements.select(F.lit(kind).alias("type"), "*")
+    typed = cut(elements.select(F.lit(kind).alias("type"), "*"), "elements")
     older = typed.withColumn("tags", F.create_map(F.lit("old"), F.lit("1"))) if "tags" in elements.columns else typed
     for name, rows in (("a", older), ("b", typed)):
         tile = F.floor(F.col("id") / 1000).alias("tile")
         answer = rows.groupBy(tile).agg(F.collect_list(F.struct(*rows.columns)).alias("elements"))
-        # a tile per file, as the extract comes
-        answer.select(F.to_json(F.struct("elements")).alias("value"), "tile").write.partitionBy("tile").option("maxRecordsPerFile", 1).text(f"{folder}/{name}")
-    return f"{folder}/*/*"
+        # a tile per file, as the extract comes; not a folder each, which would have to be listed one by one
+        answer.select(F.to_json(F.struct("elements")).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/{name}")
+    return f"{folder}/*"
 
 
 @query("s06_osm_restrictions", f"SELECT rel_id AS id, restriction, via FROM ({RESTRICTIONS})")
