@@ -105,6 +105,25 @@ def test_jaccard_components(spark, monkeypatch):
     assert kept.columns == ["doc_id", "text", "row", "pieces"]
 
 
+def test_points_move_only_where_sizes_leave_a_link_open(spark, monkeypatch):
+    rng = random.Random(4)
+    head = words(rng, 9)
+    texts = [" ".join([head, words(rng, n)]) for n in (6, 60, 61, 600)] + [words(rng, 50)] * 2
+    moved, starred = [], []
+    blocks, star = jaccard_join._in_blocks, jaccard_join.in_arrow
+    monkeypatch.setattr(jaccard_join, "_in_blocks", lambda members: moved.append(members.columns) or blocks(members))
+
+    def watched(df, run, schema):
+        if "leader_point" in df.columns:
+            starred.append(df.count())
+        return star(df, run, schema)
+
+    monkeypatch.setattr(jaccard_join, "in_arrow", watched)
+    assert len({r["component_id"] for r in jaccard_join.join(table(spark, texts)).collect()}) == 5
+    assert moved and not any("point" in columns for columns in moved)
+    assert starred and max(starred) <= 1  # of four texts with a common beginning only two are near in size
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     text = "a b c d e f g h"
     docs = spark.createDataFrame([(None, text), (7, text), (7, text), (7, "other words are here now"), (None, None)], "doc_id bigint, text string")
